@@ -17,3 +17,9 @@ def op10_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colonnade.llm.mixing import mix_sources
 
     return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
+def op5_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colonnade.llm.near_dups import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("_row")

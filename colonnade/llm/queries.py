@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from colonnade.llm.work import read_table
+from colonnade.runtime import ship_package
 
 
 def _query(name: str):
     """A query whose module is imported when it runs: workers load only what they use."""
 
     def run(spark, sf_dir):
+        ship_package(spark)
         return getattr(import_module("colonnade.llm.contracts"), name)(spark, sf_dir)
 
     run.__name__ = name
@@ -39,4 +40,4 @@ def oracle_sql() -> dict[str, str]:
     return {}
 
 
-__all__ = ["NAMES", "oracle_sql", "queries", "read_table"]
+__all__ = ["NAMES", "oracle_sql", "queries"]
