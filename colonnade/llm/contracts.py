@@ -23,3 +23,9 @@ def op5_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colonnade.llm.near_dups import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents")).drop("_row")
+
+
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colonnade.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(read_table(spark, sf_dir, "documents"))
