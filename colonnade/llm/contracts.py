@@ -29,3 +29,15 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colonnade.llm.fingerprints import fingerprint_documents
 
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colonnade.llm.decontamination import contaminated
+
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colonnade.llm.licenses import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
