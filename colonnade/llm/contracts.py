@@ -41,3 +41,12 @@ def op7_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colonnade.llm.licenses import scan_licenses
 
     return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op3_content_addressed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from colonnade.llm.token_store import encode_documents
+
+    docs = read_table(spark, sf_dir, "documents")
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
