@@ -50,3 +50,10 @@ def op3_content_addressed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colonnade.llm.quality import score_documents, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, read_table(spark, sf_dir, "labels")))
