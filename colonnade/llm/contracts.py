@@ -57,3 +57,9 @@ def op2_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colonnade.llm.secrets import labelled_samples, scan_secrets, train
+
+    return scan_secrets(read_table(spark, sf_dir, "documents"), train(labelled_samples(spark)))
