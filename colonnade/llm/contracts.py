@@ -16,13 +16,13 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colonnade.llm.mixing import mix_sources
 
-    return mix_sources(read_table(spark, sf_dir, "documents"))
+    return mix_sources(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colonnade.llm.near_dups import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("_row")
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("_a", "_b")
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,3 +63,9 @@ def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colonnade.llm.secrets import labelled_samples, scan_secrets, train
 
     return scan_secrets(read_table(spark, sf_dir, "documents"), train(labelled_samples(spark)))
+
+
+def op4_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colonnade.llm.pii import find_personal_data
+
+    return find_personal_data(read_table(spark, sf_dir, "documents"))

@@ -183,3 +183,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
             "most_equal",
         )
     )
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark item is found; no shuffle."""
+    at = docs.columns.index("text")
+    for items in _item_blocks(benchmark):
+
+        def run(batches, items=items):
+            seeds = Seeds(items)
+            for batch in batches:
+                data, offsets = utf8(batch.column(at))
+                clean = np.ones(batch.num_rows, bool)
+                for i, j in blocks(offsets):
+                    words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    clean[[i + leak[0] for leak in leaks_in(words, seeds)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

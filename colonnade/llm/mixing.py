@@ -104,7 +104,7 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
 def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     """How many words the mix takes of every document.
 
-    Returns a row for each row: doc_id, size, source_size, target, taken, source.
+    Returns a row for each row: doc_id, size, source_size, target, taken, source, text_hash.
     Null texts have size 0 and are taken 0 times; null sources are a source;
     sources without words have target 0; repeated rows are documents of their
     own; an empty table gives an empty result.  Other columns are ignored.
@@ -115,7 +115,7 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
         F.col("source").isNull().alias("_null"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_key"),
         word_count(F.col("text")).alias("size"),
-        F.xxhash64("text", F.lit(seed)).alias("_text"),
+        F.xxhash64("text").alias("text_hash"),
     )
     sizes = cut(narrow, "mix-sizes")  # the texts are read once
     targets = cut(source_targets(sizes), "mix-targets")
@@ -124,7 +124,7 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     slots = schedule(targets, block)
 
     by_source = sizes.join(targets, ["_null", "_key"])
-    by_source = by_source.withColumn("_mix", F.xxhash64("doc_id", "_text", F.lit(seed)))
+    by_source = by_source.withColumn("_mix", F.xxhash64("doc_id", "text_hash", F.lit(seed)))
     by_source = by_source.withColumn("_part", F.pmod("_mix", F.lit(CELLS)))
     placed = running_sum(
         by_source, ["source_rank"], ["_part"], ["_mix", "doc_id", "_row"], "size", "_at"
@@ -151,13 +151,13 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
         F.col("_from"), F.col("block") * block
     )
     used = pieces.join(slots.withColumn("_used", F.lit(True)), ["source_rank", "block"], "left")
-    keys = ["_row", "doc_id", "size", "source_size", "target", "_null", "_key"]
+    keys = ["_row", "doc_id", "size", "source_size", "target", "_null", "_key", "text_hash"]
     taken = F.coalesce(F.sum(F.when(F.col("_used"), overlap)), F.lit(0)).alias("taken")
     return (
         used.groupBy(*keys)
         .agg(taken)
         .select(
             "doc_id", "size", "source_size", "target", "taken",
-            F.when(~F.col("_null"), F.col("_key")).alias("source"),
+            F.when(~F.col("_null"), F.col("_key")).alias("source"), "text_hash",
         )
     )
