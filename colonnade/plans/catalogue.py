@@ -1,9 +1,614 @@
-"""Queries of the engine and their SQL."""
+"""Queries of the engine over the test tables, each beside its SQL.
+
+Both sides cast to BIGINT, DOUBLE or VARCHAR and round sums of doubles.  The
+tables hold no nulls, so some queries make them: ``l_quantity`` is null where
+``l_linenumber`` is 3.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import uuid
+
+from colonnade.sources.csv import read_csv
+from colonnade.sources.parquet import read_parquet
+from colonnade.table import Table
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        name = f"q_{fn.__name__}"
+
+        def run(spark, sf_dir):
+            from colonnade.runtime import ship_package
+
+            ship_package(spark)
+            out = fn(_Data(spark, sf_dir))
+            return out.to_spark() if isinstance(out, Table) else out
+
+        run.__name__ = name
+        _QUERIES[name] = run
+        if sql is not None:
+            _SQL[name] = sql
+        return fn
+
+    return register
+
+
+class _Data:
+    """Tables by attribute."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name):
+        return read_parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def table(**columns) -> Table:
+    return Table(columns)
+
+
+def with_nulls(li):
+    """lineitem's quantity, null on every third line."""
+    q = li.l_quantity.copy()
+    q[li.l_linenumber == 3] = None
+    return q
+
+
+NULLED = "CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END"
+
+
+# Filters, predicates, arithmetic ---------------------------------------------
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
+  round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_discount), 8) AS avg_disc,
+  count(*)::BIGINT AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def pricing_summary(d):
+    li = d.lineitem
+    li = li[li.l_shipdate <= dt.datetime(1998, 9, 2)]
+    li = li >> {"net": li.l_extendedprice * (1 - li.l_discount)}
+    out = li.aggregate(
+        ["l_returnflag", "l_linestatus"],
+        {"sum_qty": li.l_quantity.sum, "sum_disc_price": li.net.sum, "avg_disc": li.l_discount.mean, "n": len},
+    )
+    return _rounded(out.sort_by(["l_returnflag", "l_linestatus"]), sum_qty=2, sum_disc_price=2, avg_disc=8)
+
+
+def _rounded(t, **digits):
+    from pyspark.sql import functions as F
+
+    df = t.to_spark()
+    return df.withColumns({c: F.round(df[c], n) for c, n in digits.items()})
+
+
+@query(f"""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM (SELECT *, {NULLED} AS q FROM lineitem)
+  WHERE ((q > 25) AND (l_tax < 0.05)) OR NOT (q < 40)""")
+def filter_kleene(d):
+    li = d.lineitem
+    q = with_nulls(li)
+    return li[((q > 25) & (li.l_tax < 0.05)) | ~(q < 40)]["l_orderkey", "l_linenumber"]
+
+
+@query(f"SELECT count(*)::BIGINT AS n FROM lineitem WHERE NOT ({NULLED} > 20)")
+def complement_filter(d):
+    li = d.lineitem
+    return li[~(with_nulls(li) > 20)].aggregate({"n": len})
+
+
+@query(f"""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (q > 25) <> (l_tax < 0.04) AS x,
+  (q > 25) AND (l_tax < 0.04) AS a, (q > 25) OR (l_tax < 0.04) AS o, q IS NULL AS na
+  FROM (SELECT *, {NULLED} AS q FROM lineitem)""")
+def logic_table(d):
+    li = d.lineitem
+    q, t = with_nulls(li) > 25, li.l_tax < 0.04
+    return li["l_orderkey", "l_linenumber"] >> {"x": q ^ t, "a": q & t, "o": q | t, "na": with_nulls(li).is_na()}
+
+
+@query("""SELECT event_id, a, b, ((a % b) + b) % b AS m, floor(a::DOUBLE / b)::BIGINT AS f, a::DOUBLE / b AS t, 100 - a AS r,
+  abs(a) AS ab, -a AS neg, a * a * a AS cube FROM (SELECT event_id, (user_id % 100) - 50 AS a,
+  CASE WHEN event_id % 2 = 0 THEN -7 ELSE 7 END::BIGINT AS b FROM events)""")
+def python_arithmetic(d):
+    e = d.events
+    a = e.user_id % 100 - 50
+    b = a.copy()
+    b[e.event_id == e.event_id] = 7
+    b[e.event_id % 2 == 0] = -7
+    return e["event_id",] >> {
+        "a": a, "b": b, "m": a % b, "f": a // b, "t": a / b, "r": 100 - a, "ab": abs(a), "neg": -a, "cube": a**3
+    }
+
+
+@query("""SELECT event_id, user_id & 12 AS a, user_id | 3 AS o, xor(user_id, 5::BIGINT) AS x, ~user_id AS n,
+  user_id << 3 AS l, user_id >> 2 AS r FROM events""")
+def bitwise(d):
+    e = d.events
+    u = e.user_id
+    return e["event_id",] >> {"a": u & 12, "o": u | 3, "x": u ^ 5, "n": ~u, "l": u.bit_lshift(3), "r": u.bit_rshift(2)}
+
+
+@query(f"""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, q IN (1, 2, 3) AS plain,
+  coalesce(q IN (1, 2, 3), false) OR q IS NULL AS with_none FROM (SELECT *, {NULLED} AS q FROM lineitem)""")
+def is_in(d):
+    li = d.lineitem
+    q = with_nulls(li)
+    return li["l_orderkey", "l_linenumber"] >> {"plain": q.is_in([1, 2, 3]), "with_none": q.is_in([1, 2, 3, None])}
+
+
+@query(f"""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, coalesce(q, 0) AS filled,
+  coalesce(q, l_tax) AS other FROM (SELECT *, {NULLED} AS q FROM lineitem)""")
+def fillna_coalesce(d):
+    li = d.lineitem
+    q = with_nulls(li)
+    return li["l_orderkey", "l_linenumber"] >> {"filled": q.fillna(0), "other": q.coalesce(li.l_tax)}
+
+
+@query(f"SELECT count(*)::BIGINT AS n, round(sum(q), 2) AS s FROM (SELECT {NULLED} AS q FROM lineitem) WHERE q IS NOT NULL")
+def dropna(d):
+    li = d.lineitem
+    t = (li["l_orderkey",] >> {"q": with_nulls(li)}).dropna()
+    return _rounded(t.aggregate({"n": len, "s": t.q.sum}), s=2)
+
+
+@query("""SELECT c_custkey, c_custkey::VARCHAR AS s, c_custkey::DOUBLE AS f, trunc(c_acctbal)::BIGINT AS i,
+  c_acctbal <> 0 AS b FROM customer""")
+def cast(d):
+    c = d.customer
+    return c["c_custkey",] >> {
+        "s": c.c_custkey.cast(str), "f": c.c_custkey.cast(float), "i": c.c_acctbal.math.trunc(), "b": c.c_acctbal.cast(bool)
+    }
+
+
+# Joins -------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, c_name, c_nationkey::BIGINT AS c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey""")
+def inner_join(d):
+    return d.orders.inner_join(d.customer, "o_custkey", "c_custkey")["o_orderkey", "c_name", "c_nationkey"]
+
+
+@query("""SELECT a.l_orderkey, a.l_linenumber::BIGINT AS l_linenumber, b.m FROM lineitem a JOIN
+  (SELECT l_orderkey, l_linenumber, l_tax * 2 AS m FROM lineitem WHERE l_quantity > 30) b
+  ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber""")
+def multi_key_join(d):
+    li = d.lineitem
+    some = li[li.l_quantity > 30]
+    some = some["l_orderkey", "l_linenumber"] >> {"m": some.l_tax * 2}
+    keys = ["l_orderkey", "l_linenumber"]
+    out = li.inner_join(some, keys, keys, expect_right_unique=False)
+    return out["l_orderkey", "l_linenumber", "m"]
+
+
+@query("""SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN orders ON c_custkey = o_custkey""")
+def left_join(d):
+    return d.customer.left_join(d.orders, "c_custkey", "o_custkey", expect_right_unique=False)[
+        "c_custkey", "o_orderkey", "o_totalprice"
+    ]
+
+
+@query("""SELECT a.k, a.x, b.y FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer WHERE c_custkey % 3 <> 0) a
+  FULL JOIN (SELECT c_custkey AS k, c_name AS y FROM customer WHERE c_custkey % 2 = 0) b ON a.k = b.k""")
+def full_join(d):
+    c = d.customer
+    a = c[c.c_custkey % 3 != 0]["c_custkey", "c_acctbal"].rename_columns({"c_custkey": "k", "c_acctbal": "x"})
+    b = c[c.c_custkey % 2 == 0]["c_custkey", "c_name"].rename_columns({"c_custkey": "k", "c_name": "y"})
+    return a.full_join(b, "k", "k")
+
+
+@query("""SELECT e.event_id, c.c_name FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS k FROM events) e
+  LEFT JOIN customer c ON e.k = c.c_custkey""")
+def null_key_join(d):
+    e = d.events
+    k = e.user_id.copy()
+    k[e.event_id % 5 == 0] = None
+    t = e["event_id",] >> {"k": k}
+    return t.left_join(d.customer, "k", "c_custkey")["event_id", "c_name"]
+
+
+@query("""SELECT n_name, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total FROM orders
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def join_agg(d):
+    t = d.orders.inner_join(d.customer, "o_custkey", "c_custkey").inner_join(d.nation, "c_nationkey", "n_nationkey")
+    return _rounded(t.aggregate("n_name", {"n": len, "total": t.o_totalprice.sum}), total=2)
+
+
+# Aggregation -------------------------------------------------------------------
+
+
+@query(f"""SELECT l_returnflag, round(sum(q), 2) AS s, count(q)::BIGINT AS c, min(q) AS lo, max(q) AS hi,
+  round(avg(q), 8) AS mean, count(*)::BIGINT AS n FROM (SELECT *, {NULLED} AS q FROM lineitem) GROUP BY 1""")
+def agg_basic(d):
+    li = d.lineitem
+    t = li["l_returnflag",] >> {"q": with_nulls(li)}
+    out = t.aggregate("l_returnflag", {"s": t.q.sum, "c": t.q.count, "lo": t.q.min, "hi": t.q.max, "mean": t.q.mean, "n": len})
+    return _rounded(out, s=2, mean=8)
+
+
+@query("""SELECT l_linenumber::BIGINT AS l_linenumber, coalesce(round(sum(q), 2), 0) AS s, count(q)::BIGINT AS c, max(q) AS hi
+  FROM (SELECT l_linenumber, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS q FROM lineitem) GROUP BY 1""")
+def agg_empty_identity(d):
+    li = d.lineitem
+    t = li["l_linenumber",] >> {"q": with_nulls(li)}
+    return _rounded(t.aggregate("l_linenumber", {"s": t.q.sum, "c": t.q.count, "hi": t.q.max}), s=2)
+
+
+@query("""SELECT k, count(*)::BIGINT AS n FROM (SELECT CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS k FROM events) GROUP BY k""")
+def null_group(d):
+    e = d.events
+    k = e.event_type.copy()
+    k[e.event_id % 4 == 0] = None
+    return (e["event_id",] >> {"k": k}).aggregate("k", {"n": len})
+
+
+@query("""SELECT l_returnflag, coalesce(bool_and(l_tax < 0.08), true) AS every_low, coalesce(bool_or(l_quantity > 49), false) AS some_high
+  FROM lineitem GROUP BY 1""")
+def all_any(d):
+    li = d.lineitem
+    t = li["l_returnflag",] >> {"low": li.l_tax < 0.08, "high": li.l_quantity > 49}
+    return t.aggregate("l_returnflag", {"every_low": t.low.all, "some_high": t.high.any})
+
+
+@query("""SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp,
+  round(var_samp(l_quantity), 6) AS vs, round(stddev_pop(l_quantity), 6) AS sp, median(l_quantity) AS med FROM lineitem GROUP BY 1""")
+def spread(d):
+    li = d.lineitem
+    s = li.l_quantity.stats
+    out = li.aggregate("l_returnflag", {"sd": s.stdev, "vp": s.pvariance, "vs": s.variance, "sp": s.pstdev, "med": s.median})
+    return _rounded(out, sd=6, vp=6, vs=6, sp=6)
+
+
+@query("""SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS lo, (list(l_quantity ORDER BY l_quantity))[count(*) // 2 + 1] AS hi
+  FROM lineitem GROUP BY 1""")
+def median_sides(d):
+    li = d.lineitem
+    return li.aggregate("l_returnflag", {"lo": li.l_quantity.stats.median_low, "hi": li.l_quantity.stats.median_high})
+
+
+@query("""SELECT o_orderpriority, round(s[(m // 4)] * (4 - (m % 4)) / 4 + s[(m // 4) + 1] * (m % 4) / 4, 4) AS q1,
+  round(s[(2 * m) // 4] * (4 - ((2 * m) % 4)) / 4 + s[((2 * m) // 4) + 1] * ((2 * m) % 4) / 4, 4) AS q2
+  FROM (SELECT o_orderpriority, list(o_totalprice ORDER BY o_totalprice) AS s, count(*) + 1 AS m FROM orders GROUP BY 1)""")
+def quantiles_exclusive(d):
+    from pyspark.sql import functions as F
+
+    o = d.orders
+    df = o.aggregate("o_orderpriority", {"q": o.o_totalprice.stats.quantiles}).to_spark()
+    return df.select("o_orderpriority", F.round(df.q[0], 4).alias("q1"), F.round(df.q[1], 4).alias("q2"))
+
+
+@query("""SELECT v AS mode FROM (SELECT p_size AS v, count(*) AS n, min(p_partkey) AS seen FROM part GROUP BY 1) ORDER BY n DESC, seen LIMIT 1""")
+def mode(d):
+    from pyspark.sql import functions as F
+
+    p = d.part.sort_by("p_partkey")
+    return p.aggregate({"mode": p.p_size.stats.mode}).to_spark().select(F.col("mode").cast("int").alias("mode"))
+
+
+@query("""SELECT p_brand, string_agg(v::VARCHAR, ',' ORDER BY seen) AS modes FROM (SELECT *, max(n) OVER (PARTITION BY p_brand) AS top
+  FROM (SELECT p_brand, p_size AS v, count(*) AS n, min(p_partkey) AS seen FROM part GROUP BY 1, 2)) WHERE n = top GROUP BY 1""")
+def multimode(d):
+    from pyspark.sql import functions as F
+
+    p = d.part.sort_by("p_partkey")
+    df = p.aggregate("p_brand", {"modes": p.p_size.stats.multimode}).to_spark()
+    return df.select("p_brand", F.array_join(df.modes.cast("array<string>"), ",").alias("modes"))
+
+
+@query("""SELECT p_brand, round(exp(avg(ln(p_retailprice))), 6) AS g, round(count(*) / sum(1 / p_retailprice), 6) AS h,
+  round(corr(p_size, p_retailprice), 8) AS r, round(covar_samp(p_size, p_retailprice), 4) AS c,
+  round(regr_slope(p_retailprice, p_size), 6) AS slope FROM part GROUP BY 1""")
+def means_and_lines(d):
+    p = d.part
+    price = p.p_retailprice
+    out = p.aggregate("p_brand", {
+        "g": price.stats.geometric_mean, "h": price.stats.harmonic_mean,
+        "r": lambda t: t.p_size.stats.correlation(t.p_retailprice),
+        "c": lambda t: t.p_size.stats.covariance(t.p_retailprice),
+        "line": lambda t: t.p_size.stats.linear_regression(t.p_retailprice),
+    })
+    df = _rounded(out, g=6, h=6, r=8, c=4)
+    from pyspark.sql import functions as F
+
+    return df.select("p_brand", "g", "h", "r", "c", F.round(df.line[0], 6).alias("slope"))
+
+
+@query("""SELECT p_brand, round(sqrt(sum(p_size * p_size)), 6) AS norm, round(sqrt(sum((p_size - p_retailprice) * (p_size - p_retailprice))), 4) AS dist,
+  round(ln(product(p_retailprice / 1000)), 4) AS log_prod FROM part GROUP BY 1""")
+def norms(d):
+    from pyspark.sql import functions as F
+
+    p = d.part
+    p = p >> {"x": p.p_retailprice / 1000}
+    out = p.aggregate("p_brand", {
+        "norm": p.p_size.math.hypot, "dist": lambda t: t.p_size.math.dist(t.p_retailprice), "prod": p.x.math.prod,
+    }).to_spark()
+    return out.select("p_brand", F.round("norm", 6).alias("norm"), F.round("dist", 4).alias("dist"), F.round(F.ln("prod"), 4).alias("log_prod"))
+
+
+@query("""SELECT p_brand, list_reduce(list(p_size::BIGINT * 6), lambda a, b: gcd(a, b)) AS g,
+  list_reduce(list((p_size % 5 + 1)::BIGINT), lambda a, b: lcm(a, b)) AS l FROM part GROUP BY 1""")
+def gcd_lcm(d):
+    p = d.part
+    p = p >> {"six": p.p_size * 6, "few": p.p_size % 5 + 1}
+    return p.aggregate("p_brand", {"g": p.six.math.gcd, "l": p.few.math.lcm})
+
+
+@query("""SELECT o_orderpriority, arg_min(o_orderkey, o_orderkey) AS first_key, arg_max(o_totalprice, o_orderkey) AS last_price FROM orders GROUP BY 1""")
+def first_last(d):
+    o = d.orders.sort_by("o_orderkey")
+    return o.aggregate("o_orderpriority", {"first_key": o.o_orderkey.first, "last_price": o.o_totalprice.last})
+
+
+@query("""SELECT o_orderstatus, arg_max(o_orderkey, o_orderkey) AS latest_o_orderkey, arg_max(o_totalprice, o_orderkey) AS latest_o_totalprice
+  FROM orders GROUP BY 1""")
+def block_agg(d):
+    o = d.orders.sort_by("o_orderkey")
+    return o.aggregate("o_orderstatus", {"latest_": o["o_orderkey", "o_totalprice"].last})
+
+
+@query("SELECT count(*)::BIGINT AS n, round(sum(l_tax), 4) AS s, 1::BIGINT AS one FROM lineitem WHERE l_quantity > 1000")
+def global_agg(d):
+    li = d.lineitem
+    li = li[li.l_quantity > 1000]
+    from pyspark.sql import functions as F
+
+    df = _rounded(li.aggregate({"n": len, "s": li.l_tax.sum, "one": li.l_tax.constant(1)}), s=4)
+    return df.withColumn("s", F.nullif("s", F.lit(0.0)))
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def keys_only(d):
+    return d.lineitem.aggregate(["l_returnflag", "l_linestatus"])
+
+
+@query("""SELECT o_orderpriority, round(sum(o_totalprice) / count(*), 6) AS avg_price, (count(DISTINCT o_orderstatus))::BIGINT AS statuses FROM orders GROUP BY 1""")
+def callables(d):
+    o = d.orders
+    return _rounded(
+        o.aggregate("o_orderpriority", {"avg_price": lambda t: t.o_totalprice.sum() / t.o_totalprice.count(),
+                                        "statuses": lambda t: len(t.o_orderstatus.unique())}, returns={"statuses": int}),
+        avg_price=6,
+    )
+
+
+@query("""SELECT o_orderkey, o_orderpriority, round(sum(o_totalprice) OVER w, 2) AS total, count(*) OVER w AS n,
+  round(avg(o_totalprice) OVER w, 6) AS mean FROM orders WINDOW w AS (PARTITION BY o_orderpriority)""")
+def window_broadcast(d):
+    o = d.orders
+    w = o.window(["o_orderkey", "o_orderpriority"], {})
+    w = o.window("o_orderpriority", {"total": o.o_totalprice.sum, "n": len, "mean": o.o_totalprice.mean})
+    return _rounded(o["o_orderkey",] >> w, total=2, mean=6)
+
+
+@query("""SELECT o_orderpriority, o_custkey, median(o_totalprice) OVER (PARTITION BY o_orderpriority) AS med,
+  arg_min(o_orderkey, o_orderkey) OVER (PARTITION BY o_orderpriority, o_custkey) AS first_key FROM orders""")
+def window_composed(d):
+    o = d.orders.sort_by("o_orderkey")
+    a = o.window("o_orderpriority", {"med": o.o_totalprice.stats.median})
+    b = o.window(["o_orderpriority", "o_custkey"], {"first_key": o.o_orderkey.first})
+    return b["o_orderpriority", "o_custkey"] >> {"med": a.med, "first_key": b.first_key}
+
+
+# Order and sets ----------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def sort_topk(d):
+    o = d.orders
+    return o.sort_by(["o_totalprice", "o_orderkey"], reverse=[True, False])[:100]["o_orderkey", "o_totalprice"]
+
+
+@query(f"""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, q FROM (SELECT *, {NULLED} AS q FROM lineitem)
+  ORDER BY q NULLS FIRST, l_orderkey, l_linenumber LIMIT 50""")
+def sort_nulls(d):
+    li = d.lineitem
+    t = li["l_orderkey", "l_linenumber"] >> {"q": with_nulls(li)}
+    return t.sort_by(["q", "l_orderkey", "l_linenumber"], na_last=False)[:50]
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) WHERE k >= 10 AND k < 1000 AND (k - 10) % 7 = 0")
+def slice_step(d):
+    return d.orders.sort_by("o_orderkey")[10:1000:7]["o_orderkey",]
+
+
+@query("SELECT c_custkey AS k, c_acctbal AS v FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")
+def union(d):
+    c = d.customer["c_custkey", "c_acctbal"].rename_columns({"c_custkey": "k", "c_acctbal": "v"})
+    return c << d.supplier["s_suppkey", "s_acctbal"]
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def unique_rows(d):
+    return d.orders["o_orderstatus", "o_orderpriority"].unique()
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def semi_mask(d):
+    o = d.orders
+    c = d.customer
+    return c[c.c_custkey.is_in(o[o.o_totalprice > 300000].o_custkey)]["c_custkey", "c_name"]
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_mask(d):
+    c = d.customer
+    return c[~c.c_custkey.is_in(d.orders.o_custkey)]["c_custkey",]
+
+
+# Categories ---------------------------------------------------------------------
+
+LEVELS = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
+_CODE = "CASE o_orderpriority " + " ".join(f"WHEN '{x}' THEN {k}" for k, x in enumerate(LEVELS)) + " END"
+
+
+def _levels(o):
+    found = sorted(v for v in o.o_orderpriority.unique().to_list() if v is not None)
+    return found[::-1]
+
+
+@query("""SELECT o_orderkey, o_orderpriority AS p FROM (SELECT *, dense_rank() OVER (ORDER BY o_orderpriority DESC) AS c FROM orders)
+  ORDER BY c, o_orderkey LIMIT 200""")
+def category_sort(d):
+    o = d.orders
+    t = o["o_orderkey",] >> {"p": o.o_orderpriority.categorize(_levels(o))}
+    return t.sort_by(["p", "o_orderkey"])[:200]
+
+
+@query("""SELECT o_orderkey, o_orderpriority < (SELECT max(o_orderpriority) FROM orders) AS above FROM orders""")
+def category_compare(d):
+    o = d.orders
+    levels = _levels(o)
+    return o["o_orderkey",] >> {"above": o.o_orderpriority.categorize(levels) > levels[0]}
+
+
+# Strings ------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, upper(p_name) AS up, lower(p_type) AS low, length(replace(p_name, 'a', 'aa')) - length(p_name) AS n_a,
+  strpos(p_type, 'A') - 1 AS at, CASE WHEN strpos(p_name, ' ') > 0 THEN substr(p_name, strpos(p_name, ' ') + 1) ELSE '' END AS after,
+  split_part(p_name, ' ', 1) AS before, starts_with(p_type, 'S') AS s, replace(p_brand, '#', '-') AS r FROM part""")
+def strings(d):
+    p = d.part
+    return p["p_partkey",] >> {
+        "up": p.p_name.upper(), "low": p.p_type.lower(), "n_a": p.p_name.count("a"), "at": p.p_type.find("A"),
+        "after": p.p_name.after(" "), "before": p.p_name.before(" "), "s": p.p_type.startswith("S"), "r": p.p_brand.replace("#", "-"),
+    }
+
+
+@query("""SELECT p_partkey, rpad(p_brand, greatest(20, length(p_brand))::INT, '.') AS l, lpad(p_brand, greatest(20, length(p_brand))::INT, '.') AS r,
+  CASE WHEN length(p_size::VARCHAR) >= 5 THEN p_size::VARCHAR ELSE lpad(p_size::VARCHAR, 5, '0') END AS z,
+  trim(p_name) AS st, len(string_split(p_name, ' '))::BIGINT AS words, regexp_full_match(p_brand, '[A-Za-z]+') AS alpha FROM part""")
+def string_shapes(d):
+    from pyspark.sql import functions as F
+
+    p = d.part
+    t = p["p_partkey",] >> {
+        "l": p.p_brand.ljust(20, "."), "r": p.p_brand.rjust(20, "."), "z": p.p_size.cast(str).zfill(5), "st": p.p_name.strip(),
+        "words": p.p_name.split(" "), "alpha": p.p_brand.isalpha(),
+    }
+    df = t.to_spark()
+    return df.withColumn("words", F.size("words").cast("long"))
+
+
+@query()
+def string_udfs(d):
+    p = d.part
+    return p["p_partkey",] >> {
+        "t": p.p_name.title(), "s": p.p_name.swapcase(), "i": p.p_type.istitle(), "c": p.p_type.casefold(), "f": p.p_brand.format()
+    }
+
+
+# Dates --------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, year(d) AS y, month(d) AS m, day(d) AS dd, last_day(d) AS eom, d + 30 AS plus, d - 7 AS minus,
+  (d - DATE '1995-01-01')::BIGINT AS diff, isodow(d) AS iso, (isodow(d) - 1)::BIGINT AS wd, strftime(d, '%Y/%m/%d') AS f,
+  (d - DATE '0001-01-01')::BIGINT + 1 AS ord FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)""")
+def dates(d):
+    o = d.orders
+    x = o.o_orderdate.cast(dt.date)
+    return o["o_orderkey",] >> {
+        "y": x.year, "m": x.month, "dd": x.day, "eom": x.eomonth(), "plus": x + 30, "minus": x - 7, "diff": x - "1995-01-01",
+        "iso": x.isoweekday(), "wd": x.weekday(), "f": x.strftime("%Y/%m/%d"), "ord": x.toordinal(),
+    }
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate::DATE >= DATE '1996-01-01' AND o_orderdate::DATE < DATE '1996-07-01'")
+def date_filter(d):
+    o = d.orders
+    x = o.o_orderdate.cast(dt.date)
+    return o[(x >= "1996-01-01") & (x < dt.date(1996, 7, 1))]["o_orderkey",]
+
+
+# Math ---------------------------------------------------------------------------
+
+
+@query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, ceil(x)::BIGINT AS c, floor(x)::BIGINT AS f, round(sqrt(x), 8) AS s,
+  round(ln(x), 8) AS l, round(log2(x), 8) AS l2, round(exp(l_tax), 8) AS e, round(sin(x), 8) AS si, round(atan2(x, 3.0), 8) AS a,
+  round(degrees(l_tax), 8) AS dg, fmod(x, 7.0) AS fm FROM (SELECT *, l_quantity + 0.5 AS x FROM lineitem)""")
+def math(d):
+    li = d.lineitem
+    x = li.l_quantity + 0.5
+    t = li["l_orderkey", "l_linenumber"] >> {
+        "c": x.math.ceil(), "f": x.math.floor(), "s": x.math.sqrt(), "l": x.math.log(), "l2": x.math.log2(), "e": li.l_tax.math.exp(),
+        "si": x.math.sin(), "a": x.math.atan2(3.0), "dg": li.l_tax.math.degrees(), "fm": x.math.fmod(7.0),
+    }
+    return _rounded(t, s=8, l=8, l2=8, e=8, si=8, a=8, dg=8)
+
+
+@query("""SELECT p_partkey, round(gamma(p_size / 10.0 + 1), 6) AS g, round(lgamma(p_size::DOUBLE), 6) AS lg FROM part""")
+def gamma(d):
+    p = d.part
+    return _rounded(p["p_partkey",] >> {"g": (p.p_size / 10 + 1).math.gamma(), "lg": p.p_size.math.lgamma()}, g=6, lg=6)
+
+
+@query()
+def math_udfs(d):
+    p = d.part
+    s = p.p_size
+    return p["p_partkey",] >> {
+        "e": (s / 50).math.erf(), "ec": (s / 50).math.erfc(), "u": p.p_retailprice.math.ulp(), "n": p.p_retailprice.math.nextafter(0.0),
+        "k": (s % 10).math.comb(2), "h": p.p_retailprice.hex(), "fr": p.p_retailprice.math.frexp(),
+    }
+
+
+@query("SELECT p_partkey, length(bin(p_size))::BIGINT AS bl, bit_count(p_size)::BIGINT AS bc, p_retailprice = floor(p_retailprice) AS w FROM part WHERE p_size > 0")
+def number_methods(d):
+    p = d.part
+    p = p[p.p_size > 0]
+    return p["p_partkey",] >> {"bl": p.p_size.bit_length(), "bc": p.p_size.bit_count(), "w": p.p_retailprice.is_integer()}
+
+
+# Tables -------------------------------------------------------------------------
+
+
+@query("""SELECT s_suppkey * 2 AS s_suppkey, s_acctbal * 2 AS s_acctbal FROM supplier""")
+def table_lift(d):
+    return d.supplier["s_suppkey", "s_acctbal"] * 2
+
+
+@query("SELECT round(sum(l_quantity * l_extendedprice), 0) AS dot FROM lineitem")
+def matmul(d):
+    li = d.lineitem
+    return Table({"dot": [float(round(li.l_quantity @ li.l_extendedprice, 0))]})
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_quantity > 40 THEN 0.0 ELSE l_tax END AS l_tax FROM lineitem")
+def setitem_masked(d):
+    li = d.lineitem["l_orderkey", "l_linenumber", "l_quantity", "l_tax"]
+    li[li.l_quantity > 40, "l_tax"] = 0.0
+    return li.drop("l_quantity")
+
+
+@query()
+def transpose_small(d):
+    return d.region.T
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def csv_roundtrip(d):
+    from colonnade.runtime import scratch_dir
+
+    path = f"{scratch_dir(d.spark)}/csv-{uuid.uuid4().hex}"
+    d.customer["c_custkey", "c_name", "c_acctbal", "c_mktsegment"].to_spark().write.option("header", True).csv(path)
+    return read_csv(path)
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def parquet_roundtrip(d):
+    from colonnade.runtime import scratch_dir
+
+    path = f"{scratch_dir(d.spark)}/parquet-{uuid.uuid4().hex}"
+    d.nation.to_parquet(path)
+    return read_parquet(path)
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)

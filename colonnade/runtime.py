@@ -28,3 +28,9 @@ def ship_package(spark: SparkSession) -> None:
             bundle.write(path, path.relative_to(root.parent).as_posix())
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A shared folder for tables of one application: the cluster's checkpoint folder, or a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return found.rstrip("/") if found else tempfile.mkdtemp(prefix="colonnade-")
