@@ -43,10 +43,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = mix_sources(docs).withColumn("_n", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5))
     plan = plan.filter("_n > 0").groupBy(F.col("doc_id").alias("_id"), "text_hash").agg(F.max("_n").alias("_n"))
     plan = plan.withColumnRenamed("text_hash", "_text")
-    held = docs.select("*", *keys)
+    held = docs.select(F.struct("*").alias("_held"), *keys)
     match = held["_id"].eqNullSafe(plan["_id"]) & (held["_text"] == plan["_text"])
-    rows = held.join(plan, match).select(*[held[c] for c in docs.columns], plan["_n"])
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    rows = held.join(plan, match).select("_held", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return rows.select("_held.*")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
