@@ -77,7 +77,8 @@ def _passes(kind: str, piece: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(int(p) <= 255 for p in piece.split("."))
+        parts = [p.lstrip("0") for p in piece.split(".")]
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
     digits = "".join(_DIGITS.findall(piece))
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
