@@ -19,6 +19,7 @@ SPARK = {
     dt.datetime: T.TimestampNTZType(),
     dt.timedelta: T.DayTimeIntervalType(),
     object: T.StringType(),
+    Decimal: T.DecimalType(38, 10),
     complex: T.StructType([T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())]),
 }
 NUMERIC = (bool, int, float)

@@ -7,6 +7,7 @@ but for Kleene ``&`` and ``|``.
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ def common(left: Typed, right: Typed, what: str) -> tuple[Column, Column, type]:
     (a, ka), (b, kb) = left, right
     goal = promote(ka, kb)
     if goal is None:
+        if {ka, kb} == {Decimal, int}:
+            return a, b, Decimal
         if {ka, kb} == {dt.date, str}:  # ISO text beside a date
             return a.cast("date"), b.cast("date"), dt.date
         raise ColumnTypeError(f"{what}: {ka.__name__} and {kb.__name__} do not go together")
@@ -38,7 +41,8 @@ def common(left: Typed, right: Typed, what: str) -> tuple[Column, Column, type]:
 
 def compare(op: str, left: Typed, right: Typed) -> Typed:
     """==, !=, <, <=, >, >=; NaN is unequal to everything and never smaller or larger."""
-    if op in ("==", "!=") and promote(left[1], right[1]) is None and {left[1], right[1]} != {dt.date, str}:
+    meet = promote(left[1], right[1]) is not None or {left[1], right[1]} in ({dt.date, str}, {Decimal, int})
+    if op in ("==", "!=") and not meet:
         # Values of kinds that never meet are unequal.
         present = left[0].isNotNull() & right[0].isNotNull()
         return F.when(present, F.lit(op == "!=")), bool
@@ -128,6 +132,9 @@ def arithmetic(op: str, left: Typed, right: Typed) -> Typed:
         return F.repeat(text, F.greatest(times, F.lit(0)).cast("int")), str
     if dt.date in (ka, kb) or dt.datetime in (ka, kb) or dt.timedelta in (ka, kb):
         return _temporal(op, left, right)
+    if Decimal in (ka, kb) and {ka, kb} <= {Decimal, int} and op in "+-*/":
+        value = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / F.when(b != 0, b)}[op]()
+        return (fail_if(b == 0, "division by zero", value) if op == "/" else value), Decimal
     if ka not in NUMERIC or kb not in NUMERIC:
         raise ColumnTypeError(f"{op}: {ka.__name__} and {kb.__name__}")
     goal = promote(promote(ka, kb), int)

@@ -606,6 +606,151 @@ def parquet_roundtrip(d):
     return read_parquet(path)
 
 
+# Further rows of the inventory ---------------------------------------------------
+
+
+@query("""SELECT c_custkey, strpos(c_name, '#') - 1 AS i, CASE WHEN strpos(reverse(c_name), '0') > 0
+  THEN length(c_name) - strpos(reverse(c_name), '0') ELSE -1 END AS r, replace(c_name, 'Customer', '') AS p,
+  CASE WHEN ends_with(c_name, '1') THEN left(c_name, length(c_name) - 1) ELSE c_name END AS x,
+  split_part(c_name, '#', 1) || '|#|' || substr(c_name, strpos(c_name, '#') + 1) AS parts,
+  translate(c_name, '01', 'xy') AS t, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS c,
+  c_mktsegment = upper(c_mktsegment) AS u, left(c_name, 3) IN ('Cus', 'Abc') AS s, c_name || '-' || c_mktsegment AS j FROM customer""")
+def string_search(d):
+    from pyspark.sql import functions as F
+
+    c = d.customer
+    n = c.c_name
+    t = c["c_custkey",] >> {
+        "i": n.index("#"), "r": n.rfind("0"), "p": n.removeprefix("Customer"), "x": n.removesuffix("1"), "parts": n.partition("#"),
+        "t": n.translate({"0": "x", "1": "y"}), "c": c.c_mktsegment.capitalize(), "u": c.c_mktsegment.isupper(),
+        "s": n.startswith(("Cus", "Abc")), "j": n + "-" + c.c_mktsegment,
+    }
+    df = t.to_spark()
+    return df.withColumn("parts", F.array_join("parts", "|"))
+
+
+@query("""SELECT o_orderkey, make_date(year(d), month(d), 1) AS first, strftime(d, '%a %b ') || lpad(day(d)::VARCHAR, 2, ' ')
+  || strftime(d, ' 00:00:00 %Y') AS ct, isoyear(d) AS iy, week(d) AS iw, isodow(d) AS iwd, dayofyear(d) AS yd, strftime(d, '%Y-%m-%d') AS iso
+  FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)""")
+def date_shapes(d):
+    from pyspark.sql import functions as F
+
+    o = d.orders
+    x = o.o_orderdate.cast(dt.date)
+    t = o["o_orderkey",] >> {"first": x.replace(day=1), "ct": x.ctime(), "ic": x.isocalendar(), "tt": x.timetuple(), "iso": x.isoformat()}
+    df = t.to_spark()
+    return df.select("o_orderkey", "first", "ct", F.col("ic")[0].alias("iy"), F.col("ic")[1].alias("iw"), F.col("ic")[2].alias("iwd"),
+                     F.col("tt")[7].alias("yd"), "iso")
+
+
+@query("""SELECT p_partkey, round(ln(s) / ln(3.0), 8) AS l3, floor(sqrt(s))::BIGINT AS iq, (s % 15)!::BIGINT AS fa, trunc(-x)::BIGINT AS tr,
+  round(x - trunc(x), 8) AS mf, trunc(x) AS mi, abs(x - 1000) <= 1000 * 0.5 AS cl, round(cosh(s / 50.0), 8) AS ch, round(sinh(s / 50.0), 8) AS sh,
+  round(tanh(s / 50.0), 8) AS th, round(asinh(s::DOUBLE), 8) AS ah, round(acosh(s + 1.0), 8) AS ac, round(atanh(s / 51.0), 8) AS ath,
+  round(pow(s, 1.5), 6) AS pw, -x AS cs, round(x * 4, 6) AS ld FROM (SELECT p_partkey, p_size AS s, p_retailprice AS x FROM part)""")
+def math_shapes(d):
+    from pyspark.sql import functions as F
+
+    p = d.part
+    s, x = p.p_size, p.p_retailprice
+    t = p["p_partkey",] >> {
+        "l3": s.math.log(3), "iq": s.math.isqrt(), "fa": (s % 15).math.factorial(), "tr": (-x).math.trunc(), "m": x.math.modf(),
+        "cl": x.math.isclose(1000, rel_tol=0.0, abs_tol=500.0), "ch": (s / 50).math.cosh(), "sh": (s / 50).math.sinh(),
+        "th": (s / 50).math.tanh(), "ah": s.math.asinh(), "ac": (s + 1).math.acosh(), "ath": (s / 51).math.atanh(),
+        "pw": s.math.pow(1.5), "cs": x.math.copysign(-1.0), "ld": x.math.ldexp(2),
+    }
+    df = _rounded(t, l3=8, ch=8, sh=8, th=8, ah=8, ac=8, ath=8, pw=6, ld=6)
+    return df.withColumns({"mf": F.round(df.m[0], 8), "mi": df.m[1]}).drop("m")
+
+
+@query("""SELECT k, o_orderkey FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS k, o_orderkey FROM orders)
+  WHERE k IN (0, 5, 17, (SELECT count(*) - 1 FROM orders))""")
+def take(d):
+    o = d.orders.sort_by("o_orderkey")
+    n = len(o)
+    picked = o[[5, 0, 17, -1]]["o_orderkey",]
+    return Table({"k": [5, 0, 17, n - 1]}) >> picked
+
+
+@query("SELECT s_suppkey, s_acctbal * 2 + s_nationkey * 10 AS combo FROM supplier")
+def matmul_table(d):
+    s = d.supplier
+    return s["s_suppkey",] >> {"combo": s["s_acctbal", "s_nationkey"] @ [2, 10]}
+
+
+@query("""SELECT s_suppkey, coalesce(CASE WHEN s_acctbal > 0 THEN s_acctbal END, s_suppkey::DOUBLE) AS v FROM supplier""")
+def table_coalesce(d):
+    s = d.supplier
+    v = s.s_acctbal.copy()
+    v[s.s_acctbal <= 0] = None
+    left = s["s_suppkey",] >> {"v": v}
+    right = s["s_suppkey",] >> {"v": s.s_suppkey.cast(float)}
+    return left.coalesce(right)
+
+
+@query("SELECT count(*)::BIGINT AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <> 3)")
+def table_dropna(d):
+    li = d.lineitem
+    return (li["l_orderkey",] >> {"q": with_nulls(li)}).dropna().aggregate({"n": len})
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN (SELECT max(o_orderpriority) FROM orders) ELSE o_orderpriority END AS p,
+  CASE WHEN o_totalprice > 200000 THEN (SELECT max(o_orderpriority) FROM orders) ELSE o_orderpriority END IN
+  ((SELECT max(o_orderpriority) FROM orders), (SELECT min(o_orderpriority) FROM orders)) AS edge FROM orders""")
+def category_assign(d):
+    o = d.orders
+    levels = _levels(o)
+    c = o.o_orderpriority.categorize(levels)
+    c[o.o_totalprice > 200000] = levels[0]
+    return o["o_orderkey",] >> {"p": c, "edge": c.isin([levels[0], levels[-1]])}
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus, 1::BIGINT AS f, 'x' AS s FROM lineitem")
+def constant(d):
+    li = d.lineitem
+    return li.aggregate(["l_returnflag", "l_linestatus"], {"f": li.l_tax.constant(1), "s": li.l_tax.constant("x")})
+
+
+@query("""SELECT o_orderpriority, round(stddev_samp(o_totalprice) OVER (PARTITION BY o_orderpriority), 4) AS w,
+  bool_or(o_totalprice > 400000) OVER (PARTITION BY o_orderpriority) AS some FROM orders""")
+def window_stats(d):
+    o = d.orders
+    t = o >> {"big": o.o_totalprice > 400000}
+    return _rounded(t.window("o_orderpriority", {"w": t.o_totalprice.stats.stdev, "some": t.big.any}), w=4)
+
+
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_extendedprice FROM lineitem WHERE l_orderkey > 100 AND l_orderkey < 200 AND l_returnflag = 'R'")
+def pushed_filter(d):
+    li = d.lineitem
+    return li[(li.l_orderkey > 100) & (li.l_orderkey < 200) & (li.l_returnflag == "R")]["l_orderkey", "l_linenumber", "l_extendedprice"]
+
+
+@query("SELECT count(DISTINCT o_custkey)::BIGINT AS n FROM orders")
+def unique_vector(d):
+    return d.orders["o_custkey",].unique().aggregate({"n": len})
+
+
+@query("""SELECT vec_id, label::BIGINT AS label FROM embeddings WHERE label % 2 = 0""")
+def nested_opt_in(d):
+    t = read_parquet(f"{d.sf_dir}/embeddings.parquet", nested=True)
+    return t[t.label % 2 == 0]["vec_id", "label"]
+
+
+@query("""SELECT role, count(*)::BIGINT AS n, max(turn) AS turns FROM conversations GROUP BY role""")
+def conversations(d):
+    c = d.conversations
+    t = c >> {"last": c.text.encode()}
+    return t.aggregate("role", {"n": len, "turns": t.turn.max})
+
+
+@query("""SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total, round(sum(value * value), 0) AS squares FROM events WHERE ts >= TIMESTAMP '2024-01-01' OR ts < TIMESTAMP '2024-01-01' GROUP BY 1""")
+def events_by_type(d):
+    e = d.events
+    cut = dt.datetime(2024, 1, 1)
+    e = e[(e.ts >= cut) | (e.ts < cut)]
+    e = e >> {"sq": e.value**2}
+    return _rounded(e.aggregate("event_type", {"n": len, "total": e.value.sum, "squares": e.sq.sum}), total=2, squares=0)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
