@@ -23,16 +23,25 @@ def session() -> SparkSession:
 
 @dataclass
 class Frame:
-    """``order``: (column, ascending, nulls last) in turn; the rows' positions follow it."""
+    """``order``: (column, ascending, nulls last) in turn; the rows' positions follow it.
+
+    ``plain`` is the same rows without what makes the order (a file's row
+    numbers), for whatever needs none.
+    """
 
     df: DataFrame
     order: list[tuple[str, bool, bool]]
     rows: int | None = None
     verdicts: list[tuple[str, str]] = field(default_factory=list)
+    plain: DataFrame | None = None
+
+    @property
+    def bare(self) -> DataFrame:
+        return self.df if self.plain is None else self.plain
 
     def count(self) -> int:
         if self.rows is None:
-            self.rows = self.df.count()
+            self.rows = self.bare.count()
         return self.rows
 
     def sort_columns(self) -> list[Column]:

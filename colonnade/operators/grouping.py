@@ -264,7 +264,7 @@ def reduce_all(frame: Frame, outputs: list[Output]) -> list:
         positional = any(o.reduction in ("first", "last") for o in batch)
         rank = frame.rank() if positional else None
         columns = [o.column(rank)[0].alias(f"r{i}") for i, o in enumerate(batch)]
-        row = frame.df.agg(*columns).first()
+        row = (frame.df if positional else frame.bare).agg(*columns).first()
         out |= {id(o): v for o, v in zip(batch, row, strict=True)}
     for o in outputs:
         if o.reduction in R.TWO_LEVEL:
@@ -315,6 +315,7 @@ def aggregate(table, groupby, aggregations, returns=None):
     view = Table.of(keyed, table._columns)
     columns, joined, verdicts = [], [], []
     native, sides = [F.min(rank).alias(order)], []
+    ordered = False  # whether an output follows the order of the rows
     for name, what in outputs:
         out = fresh()
         categories = None
@@ -334,6 +335,7 @@ def aggregate(table, groupby, aggregations, returns=None):
                 col, kind = what.column(None)
                 sides.append(keyed.df.groupBy(*keys).agg(col.alias(out)))
             else:
+                ordered |= what.reduction in ("first", "last")
                 col, kind = what.column(rank)
                 categories = what.vector._categories if what.reduction in ("first", "last", "min", "max") else None
                 native.append(col.alias(out))
@@ -345,7 +347,7 @@ def aggregate(table, groupby, aggregations, returns=None):
             found = _traced(table, what, rank)
             if found is not None:
                 native.append(found.col.alias(out))
-                kind = found.kind
+                kind, ordered = found.kind, True
             else:
                 side, kind = _udaf(view, what, keys, fresh("o"), (returns or {}).get(name), out)
                 sides.append(side)
@@ -359,6 +361,12 @@ def aggregate(table, groupby, aggregations, returns=None):
         else:
             df = df.join(side.withColumn(one := fresh(), F.lit(1)), F.lit(1) == F.col(one), "left")
     result = Frame(df, [(order, True, True)], None, verdicts)
+    if frame.plain is not None and not sides and not ordered and (keys or native[1:]):
+        named = frame.plain.select("*", *[v._col.alias(k) for v, k in zip(key_vectors, keys, strict=True)])
+        if native[1:]:
+            result.plain = (named.groupBy(*keys) if keys else named).agg(*native[1:])
+        else:
+            result.plain = named.select(*keys).distinct()
     made = [
         Vector.of(result, F.col(k), v._kind, v._nullable, v._name, v._categories, True) for v, k in zip(key_vectors, keys, strict=True)
     ]
@@ -420,6 +428,9 @@ def window(table, groupby, aggregations, returns=None):
         df = df.join(sdf, _null_safe(df, sdf, list(zip(keys, renamed, strict=True))), "left")
         columns = [(n, F.col(values[n][0]), values[n][1]._kind) if c is None else (n, c, k) for n, c, k in columns]
     result = Frame(df, list(frame.order), frame.rows)
+    positional = any(isinstance(w, Output) and w.reduction in ("first", "last") for _, w in outputs)
+    if frame.plain is not None and not late and not positional:
+        result.plain = frame.plain.select("*", *[v._col.alias(k) for v, k in zip(key_vectors, keys, strict=True)]).select("*", *native)
     made = [
         Vector.of(result, F.col(k), v._kind, v._nullable, v._name, v._categories, True) for v, k in zip(key_vectors, keys, strict=True)
     ]

@@ -20,7 +20,7 @@ def _key_vectors(table, spec):
 def check_unique(frame: Frame, keys: list, side: str) -> None:
     """One job: a non-null key that stands twice raises."""
     names = [fresh("k") for _ in keys]
-    df = frame.df.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)])
+    df = frame.bare.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)])
     df = df.filter(fold(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
     twice = df.groupBy(*names).count().filter("count > 1").first()
     if twice:
@@ -51,10 +51,10 @@ def join(how, left, right, left_on, right_on, expect_left_unique, expect_right_u
     lkeys, rkeys = [fresh("k") for _ in lk], [fresh("k") for _ in rk]
     lcols, rcols = [fresh() for _ in left._columns], [fresh() for _ in right._columns]
 
-    def side(table, order, keys, key_vectors, cols):
-        rank = table._frame.rank()
-        return table._frame.df.select(
-            rank.alias(order),
+    def side(table, order, keys, key_vectors, cols, plain=False):
+        rank = None if plain else table._frame.rank()
+        return (table._frame.bare if plain else table._frame.df).select(
+            *([] if plain else [rank.alias(order)]),
             *[v.value_column.alias(k) for v, k in zip(key_vectors, keys, strict=True)],
             *[v._col.alias(c) for v, c in zip(table._columns, cols, strict=True)],
         )
@@ -64,6 +64,8 @@ def join(how, left, right, left_on, right_on, expect_left_unique, expect_right_u
     df = a.join(b, match, how)
     # Left rows in order, their matches in right order, unmatched right rows last.
     frame = Frame(df, [(lo, True, True), (ro, True, True)])
+    plain = [side(left, lo, lkeys, lk, lcols, True), side(right, ro, rkeys, rk, rcols, True)]
+    frame.plain = plain[0].join(plain[1], match, how)
     made = [
         Vector.of(frame, F.col(c), v._kind, v._nullable or how == "full", v._name, v._categories, True)
         for v, c in zip(left._columns, lcols, strict=True)

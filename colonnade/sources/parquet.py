@@ -60,7 +60,7 @@ def _table(df: DataFrame, order):
         cols.append((c if goal == field.dataType else c.cast(goal)).alias(name))
         names.append(field.name)
         columns.append((name, kind, field.nullable))
-    frame = Frame(df.select(*cols, order.alias(position)), [(position, True, True)])
+    frame = Frame(df.select(*cols, order.alias(position)), [(position, True, True)], plain=df.select(*cols))
     return Table.of(frame, [Vector.of(frame, F.col(p), k, null, n, None, True) for (p, k, null), n in zip(columns, names, strict=True)])
 
 

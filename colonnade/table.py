@@ -215,8 +215,11 @@ class Table:
             return Table.of(self._frame, self._columns[cols])
         return Table.of(self._frame, [self._columns[self._position(c)] for c in cols])
 
-    def projected(self, df_of, order=None, rows=None, name=None) -> Table:
-        """A new frame: ``df_of`` the frame's DataFrame with this table's columns under new physical names."""
+    def projected(self, df_of, order=None, rows=None, name=None, positional=False) -> Table:
+        """A new frame: ``df_of`` the frame's DataFrame with this table's columns under new physical names.
+
+        ``positional``: ``df_of`` needs the order of the rows.
+        """
         names = [fresh() for _ in self._columns]
         keep = [c for c, _, _ in self._frame.order]
         renamed = {c: fresh("o") for c in keep}
@@ -225,6 +228,8 @@ class Table:
             *[c._col.alias(n) for c, n in zip(self._columns, names, strict=True)], *[F.col(a).alias(b) for a, b in renamed.items()]
         )
         frame = Frame(plain, order or [(renamed[c], up, last) for c, up, last in self._frame.order], rows)
+        if self._frame.plain is not None and not positional:
+            frame.plain = df_of(self._frame.plain).select(*[c._col.alias(n) for c, n in zip(self._columns, names, strict=True)])
         made = [Vector.of(frame, F.col(n), c._kind, c._nullable, c._name, c._categories, True) for c, n in zip(self._columns, names, strict=True)]
         return Table.of(frame, made, name)
 
@@ -250,13 +255,13 @@ class Table:
             return self._through(lambda df: df.filter(F.lit(False)), self._table_name)
         low, high = min(r[0], r[-1]), max(r[0], r[-1])
         inside = (c >= low) & (c <= high) & ((c - low) % abs(r.step) == 0)
-        out = self.projected(lambda df: df.filter(inside), rows=len(r), name=self._table_name)
+        out = self.projected(lambda df: df.filter(inside), rows=len(r), name=self._table_name, positional=True)
         if r.step < 0:
             out._frame.order = [(out._frame.order[0][0], False, True)]
         return out
 
     def _through(self, df_of, name=None) -> Table:
-        return self.projected(df_of, name=name)
+        return self.projected(df_of, name=name, positional=True)
 
     def _row(self, i):
         from colonnade.display import RowView
@@ -300,7 +305,7 @@ class Table:
     def to_spark(self) -> DataFrame:
         """The columns as a DataFrame under their names (unnamed: col{i}_); rows in no promised order."""
         names = unique_names([n if n is not None else f"col{i}_" for i, n in enumerate(self.column_names())])
-        return self._frame.df.select(*[c.value_column.alias(n) for c, n in zip(self._columns, names, strict=True)])
+        return self._frame.bare.select(*[c.value_column.alias(n) for c, n in zip(self._columns, names, strict=True)])
 
     @property
     def T(self):
@@ -457,6 +462,8 @@ class Table:
         rows = self._frame.df.select(*[c._col.alias(n) for c, n in zip(self._columns, names, strict=True)], rank.alias(order))
         df = rows.groupBy(*names).agg(F.min(order).alias(order))
         frame = Frame(df, [(order, True, True)])
+        if self._frame.plain is not None:
+            frame.plain = self._frame.plain.select(*[c._col.alias(n) for c, n in zip(self._columns, names, strict=True)]).distinct()
         made = [Vector.of(frame, F.col(n), c._kind, c._nullable, c._name, c._categories, True) for c, n in zip(self._columns, names, strict=True)]
         return Table.of(frame, made)
 
@@ -470,7 +477,7 @@ class Table:
         for a, b in zip(self._columns, other._columns, strict=True):
             goals.append(kinds.promote(a._kind, b._kind) or object)
         domains = [a._categories if a._categories == b._categories else None for a, b in zip(self._columns, other._columns, strict=True)]
-        order = [fresh("o"), fresh("o")]
+        order, plain = [fresh("o"), fresh("o")], []
         for side, t in enumerate((self, other)):
             cols = []
             for c, n, goal, domain in zip(t._columns, names, goals, domains, strict=True):
@@ -478,7 +485,8 @@ class Table:
                 cols.append(col.alias(n))
             place = t._frame.rank() if len(t._frame.order) == 1 and t._frame.order[0][1] else F.monotonically_increasing_id()
             sides.append(t._frame.sorted().select(*cols, F.lit(side).alias(order[0]), place.cast("long").alias(order[1])))
-        frame = Frame(sides[0].unionAll(sides[1]), [(o, True, True) for o in order])
+            plain.append(t._frame.bare.select(*cols))
+        frame = Frame(sides[0].unionAll(sides[1]), [(o, True, True) for o in order], plain=plain[0].unionAll(plain[1]))
         made = [
             Vector.of(frame, F.col(n), g, a._nullable or b._nullable, a._name, d, True)
             for n, g, a, b, d in zip(names, goals, self._columns, other._columns, domains, strict=True)
@@ -493,7 +501,7 @@ class Table:
             raise ColumnValueError("as many directions as keys")
         names = [fresh("s") for _ in keys]
         view = Table.of(
-            Frame(self._frame.df.select("*", *[k._col.alias(n) for k, n in zip(keys, names, strict=True)]), self._frame.order, self._frame.rows),
+            Frame(self._frame.df.select("*", *[k._col.alias(n) for k, n in zip(keys, names, strict=True)]), self._frame.order, self._frame.rows, plain=self._frame.plain),
             self._columns,
         )
         order = [(n, not f, na_last) for n, f in zip(names, flags, strict=True)] + list(self._frame.order)

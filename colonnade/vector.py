@@ -214,10 +214,12 @@ class Vector:
     def _is_in_column(self, members: Vector) -> Vector:
         """A left join with the distinct members gives the flag."""
         flag, key = fresh("m"), fresh("k")
-        side = members._frame.df.select(members.value_column.alias(key)).filter(F.col(key).isNotNull()).distinct()
+        side = members._frame.bare.select(members.value_column.alias(key)).filter(F.col(key).isNotNull()).distinct()
         side = side.withColumn(flag, F.lit(True))
         df = self._frame.df.join(side, self.value_column == F.col(key), "left")
         frame = Frame(df, list(self._frame.order), self._frame.rows)
+        if self._frame.plain is not None:
+            frame.plain = self._frame.plain.join(side, self.value_column == F.col(key), "left")
         col = F.when(self.value_column.isNotNull(), F.coalesce(F.col(flag), F.lit(False)))
         return Vector.of(frame, col, bool, self._nullable)
 
@@ -269,7 +271,7 @@ class Vector:
         if isinstance(other, Table):
             return other._dots(self)
         product = self * other
-        bad = product._frame.df.agg(F.count_if(product._col.isNull()), F.sum(product._col)).first()
+        bad = product._frame.bare.agg(F.count_if(product._col.isNull()), F.sum(product._col)).first()
         if bad[0]:
             raise ColumnTypeError("null in a dot product")
         return bad[1] if bad[1] is not None else 0
@@ -436,7 +438,7 @@ class Vector:
                     frame = aligned(frame, v._frame)
                 arguments[k] = v._col
         if name in ("all", "any") and arguments.get("on_empty") is None:
-            if not frame.df.select(F.count(self._col)).first()[0]:
+            if not frame.bare.select(F.count(self._col)).first()[0]:
                 warnings.warn(f"{name}() of no values", EmptyReductionWarning, stacklevel=3)
         return reduce_all(frame, [Output(name, self._on(frame), name, registry, arguments)])[0]
 
