@@ -130,15 +130,15 @@ def fingerprint_documents(docs: DataFrame, parts: int | None = None) -> DataFram
     """Fingerprint every text, and its edited text, made with the next document's beginning.
 
     The next document is the one with the next lower doc_id (after the lowest:
-    the highest).  Documents are dealt into ``parts`` runs of ids (twice
-    spark.sql.shuffle.partitions); the first document of each run also goes to
+    the highest).  Documents are dealt into ``parts`` runs of ids (eight times
+    spark.sql.shuffle.partitions, for even tasks); the first document of each run also goes to
     the run before, so that no run needs more than itself.  Null texts count as
     empty; a null doc_id comes after all others; rows that repeat a doc_id stand
     in the order of their texts' hashes; a table of one row follows itself; an
     empty table gives an empty result.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lowest = -(1 << 63)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest))
     ranges = docs.select(key.alias("k")).repartitionByRange(parts, F.col("k").desc())
