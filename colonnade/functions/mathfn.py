@@ -31,8 +31,7 @@ def _real(f, bad=None):
         x = _d(c)
         if bad is None:
             return f(x), float
-        ok = F.when(~bad(x), x)
-        return fail_if(bad(x), _DOMAIN, f(ok)), float
+        return fail_if(bad(x), _DOMAIN, f(x)), float
 
     return build
 
@@ -150,7 +149,7 @@ UNARY = {
 
 def _log(c, kind, base=None):
     bad = _d(c) <= 0
-    out = F.ln(F.when(~bad, _d(c)))
+    out = F.ln(_d(c))
     if base is not None:
         wrong = (_d(base) <= 0) | (_d(base) == 1)
         return fail_if(bad | wrong, _DOMAIN, out / F.ln(F.when(~wrong, _d(base)))), float
@@ -194,7 +193,7 @@ def _pow(c, kind, exponent):
 def _fmod(c, kind, divisor):
     x, y = _d(c), _d(divisor)
     bad = (y == 0) | (F.abs(x) == INF)
-    return fail_if(bad, _DOMAIN, x % F.when(~bad, y)), float
+    return fail_if(bad, _DOMAIN, x % y), float
 
 
 BINARY = {

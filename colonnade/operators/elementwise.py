@@ -90,21 +90,32 @@ def shift(op: str, left: Typed, right: Typed) -> Typed:
     return fail_if(n < 0, "negative shift count", fail_if(lost, "integer overflow in <<", out)), int
 
 
-def modulo(a: Column, b: Column, kind) -> Column:
-    """Remainder with the sign of the divisor; 0 fails."""
+def modulo(a: Column, b: Column) -> Column:
+    """Remainder with the sign of the divisor; 0 fails (ANSI)."""
     rest = a % b
-    fixed = F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
-    return fail_if(b == 0, "modulo by zero", fixed)
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
 
 
 def floor_quotient(a: Column, b: Column, kind) -> Column:
-    rest = modulo(a, b, kind)
+    """Quotient rounded down; 0 fails (ANSI)."""
     if kind is float:
-        return F.rint((a - rest) / b)
-    # (a - rest) divides evenly; the division runs in decimals, exact for 64 bits.
-    exact = (a - rest).cast("decimal(20,0)") / b.cast("decimal(20,0)")
-    small = (F.abs(a) < F.lit(1 << 52)) & (F.abs(b) < F.lit(1 << 52))
-    return F.when(small, F.rint((a - rest).cast("double") / b.cast("double")).cast("bigint")).otherwise(exact.cast("bigint"))
+        # floor(a / b) is off where the quotient rounds up to a whole number.
+        return F.rint((a - modulo(a, b)) / b)
+    whole = F.call_function("div", a, b)
+    down = (whole * b != a) & ((a < 0) != (b < 0))
+    return whole - down.cast("long")
+
+
+def whole_power(a: Column, n: int) -> Column:
+    """a ** n of ints by squaring; overflow fails (ANSI)."""
+    out, square = None, a
+    while n:
+        if n & 1:
+            out = square if out is None else out * square
+        n >>= 1
+        if n:
+            square = square * square
+    return F.when(a.isNotNull(), F.lit(1).cast("long")) if out is None else out
 
 
 def power(a: Column, b: Column, kind) -> Column:
@@ -133,8 +144,8 @@ def arithmetic(op: str, left: Typed, right: Typed) -> Typed:
     if dt.date in (ka, kb) or dt.datetime in (ka, kb) or dt.timedelta in (ka, kb):
         return _temporal(op, left, right)
     if Decimal in (ka, kb) and {ka, kb} <= {Decimal, int} and op in "+-*/":
-        value = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / F.when(b != 0, b)}[op]()
-        return (fail_if(b == 0, "division by zero", value) if op == "/" else value), Decimal
+        value = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b}[op]()
+        return value, Decimal
     if ka not in NUMERIC or kb not in NUMERIC:
         raise ColumnTypeError(f"{op}: {ka.__name__} and {kb.__name__}")
     goal = promote(promote(ka, kb), int)
@@ -142,11 +153,11 @@ def arithmetic(op: str, left: Typed, right: Typed) -> Typed:
         goal = float
     a, b = typed(a, ka, goal), typed(b, kb, goal)
     if op == "/":
-        return fail_if(b == 0, "division by zero", a / F.when(b != 0, b)), float
+        return a / b, float
     if op == "//":
-        return fail_if(b == 0, "division by zero", floor_quotient(a, F.when(b != 0, b), goal)), goal
+        return floor_quotient(a, b, goal), goal
     if op == "%":
-        return fail_if(b == 0, "modulo by zero", modulo(a, F.when(b != 0, b), goal)), goal
+        return modulo(a, b), goal
     if op == "**":
         return power(a, b, goal), goal
     return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b}[op](), goal

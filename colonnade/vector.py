@@ -515,7 +515,11 @@ def _arithmetic(op):
     def forward(self, other):
         from colonnade.table import Table
 
-        return NotImplemented if isinstance(other, Table) else self._binary(E.arithmetic, op, other)
+        if isinstance(other, Table):
+            return NotImplemented
+        if op == "**" and self._kind is int and type(other) is int and 0 <= other <= 64:
+            return self._with(E.whole_power(self._col, other), int)
+        return self._binary(E.arithmetic, op, other)
 
     def backward(self, other):
         return self._binary(E.arithmetic, op, other, swap=True)
