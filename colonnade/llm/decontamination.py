@@ -20,12 +20,18 @@ from colonnade.llm.text import Words, blocks, mix, powers, utf8
 
 #: Fixed masks: 1 counts, 0 is ignored.
 MASKS = ("11101011011", "1101100110101", "111001101111", "11111111")
+#: Masks of four: one of them fits every stretch of 13 words or more with SIMILAR equal words.
+LIGHT = ("1111", "11101")
+#: Masks of three for items of less than OVERLAP words; likewise for any such item of 4 words or more.
+LIGHTEST = ("111", "1101", "1011")
 #: Words of an aligned stretch that count as a leak (a shorter item: all of it).
 OVERLAP = 13
 #: Share of equal words in the stretch.
 SIMILAR = 0.75
 #: Words of benchmark text held by each worker at once.
 BENCHMARK_WORDS = 1 << 20
+#: Pairs of words compared at once.
+COMPARED_WORDS = 1 << 20
 
 
 def spaced(words: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -51,15 +57,21 @@ class Seeds:
         raw = [t.encode() for _, t in items]
         offsets = np.cumsum([0, *map(len, raw)])
         words = Words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        self.words, self.counts = words, words.counts
         self.items = [words.hash[words.first[k] : words.first[k + 1]] for k in range(len(items))]
         self.masks = []
-        for mask in MASKS:
+        for mask in MASKS + LIGHT + LIGHTEST:
             h, at = spaced(words, mask)
+            if mask in LIGHTEST:
+                some = self.counts[words.text[at]] < OVERLAP
+                h, at = h[some], at[some]
+            if not len(h):
+                continue
             order = np.argsort(h, kind="stable")
             item = words.text[at][order]
             self.masks.append((mask, h[order], item, at[order] - words.first[item], self._filter(h)))
-        # Items too short for any mask are found by their first word and compared whole.
-        shortest = min(map(len, MASKS))
+        # Items too short to hold a replaced word are found by their first word and compared whole.
+        shortest = min(map(len, LIGHTEST)) + 1
         short = [(x[0], k) for k, x in enumerate(self.items) if 0 < len(x) < shortest]
         h = np.array([x for x, _ in short], np.uint64)
         order = np.argsort(h, kind="stable")
@@ -73,7 +85,7 @@ class Seeds:
         return seen
 
     def hits(self, words: Words) -> Iterator[tuple[int, int, int]]:
-        """Distinct (text, item, word of the text under the item's word 0)."""
+        """Distinct (text, item, word of the text under the item's word 0), with enough equal words in all."""
         found = []
         sides = [(*spaced(words, m), h, item, at, seen) for m, h, item, at, seen in self.masks]
         h, item, at, seen = self.short
@@ -92,16 +104,47 @@ class Seeds:
             k = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
             found.append(np.stack([words.text[first[some]][each], item[k], first[some][each] - at[k]], 1))
         if found:
-            yield from np.unique(np.concatenate(found), axis=0).tolist()
-
-
-def best_stretch(same: np.ndarray) -> tuple[int, int]:
-    """(first, end) of the stretch with the most equal words less three for each other one."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    first = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return first, end
+            yield from self._likely(words, np.unique(np.concatenate(found), axis=0))
+
+    def _likely(self, words: Words, hits: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """The hits whose two sequences have as many equal words as the shortest leak."""
+        text, item, zero = hits.T
+        skip = np.maximum(0, words.first[text] - zero)
+        size = np.minimum(self.counts[item], words.first[text + 1] - zero) - skip
+        total = np.cumsum(size)
+        begin = 0
+        while begin < len(hits):
+            done = total[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(total, done + COMPARED_WORDS, "right")))
+            own = size[begin:end]
+            first = np.cumsum(own) - own
+            place = np.arange(int(own.sum())) - np.repeat(first - skip[begin:end], own)
+            there = words.hash[place + np.repeat(zero[begin:end], own)]
+            here = self.words.hash[place + np.repeat(self.words.first[item[begin:end]], own)]
+            equal = np.add.reduceat(there == here, first, dtype=np.int64)
+            enough = equal >= SIMILAR * np.minimum(OVERLAP, self.counts[item[begin:end]])
+            yield from hits[begin:end][enough].tolist()
+            begin = end
+
+
+def best_stretch(same: np.ndarray, least: int) -> tuple[int, int] | None:
+    """(first, end) of the best stretch of ``least`` words or more; None if there is none.
+
+    The best has the most equal words less, for each other one, as many as keep
+    a stretch with a share of SIMILAR equal words at 0: a stretch of that length
+    and share exists exactly if the best is not below 0.
+    """
+    if len(same) < least:
+        return None
+    loss = round(SIMILAR / (1 - SIMILAR))
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -loss))])
+    low = np.minimum.accumulate(total[: len(total) - least])
+    gain = total[least:] - low
+    k = int(np.argmax(gain))
+    if gain[k] < 0:
+        return None
+    first = int(np.flatnonzero(total[: k + 1] == low[k])[-1])
+    return first, k + least
 
 
 def leaks_in(words: Words, seeds: Seeds) -> Iterator[tuple[int, int, int, int, int]]:
@@ -114,10 +157,10 @@ def leaks_in(words: Words, seeds: Seeds) -> Iterator[tuple[int, int, int, int, i
         if stop <= skip:
             continue
         same = words.hash[zero + skip : zero + stop] == goal[skip:stop]
-        first, end = best_stretch(same)
-        equal = int(same[first:end].sum())
-        if end - first >= min(OVERLAP, len(goal)) and equal >= SIMILAR * (end - first):
-            yield text, item, zero + skip + first - lo, end - first, equal
+        stretch = best_stretch(same, min(OVERLAP, len(goal)))
+        if stretch:
+            first, end = stretch
+            yield text, item, zero + skip + first - lo, end - first, int(same[first:end].sum())
 
 
 def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -136,7 +179,7 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """Verified overlaps: one row per row of ``docs`` and item.
 
-    Returns ``key``, item_id, first_word, n_words, n_equal of the longest overlap.
+    Returns ``key``, item_id, first_word, n_words, n_equal of the best overlap.
     ``docs`` is read once per block of BENCHMARK_WORDS words of the benchmark.
     Null texts count as empty and never match; items without words are passed
     over, a null item_id reads -1; repeated rows are found each; an empty table

@@ -331,6 +331,42 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert got == {k: str(k) for k in range(5)}
 
 
+def test_replaced_words_anywhere(spark):
+    from itertools import combinations
+
+    from colonnade.llm import decontamination as dc
+
+    cases, items = [], []
+    for n in range(4, 21):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for m in range(1, n // 4 + 2):
+            every = list(combinations(range(n), m))
+            for k, places in enumerate(every if len(every) < 300 else random.Random(n).sample(every, 300)):
+                text = " ".join("no" if j in places else w for j, w in enumerate(item))
+                same = [j not in places for j in range(n)]
+                whole = any(4 * sum(same[a:b]) >= 3 * (b - a) for a in range(n) for b in range(a + min(13, n), n + 1))
+                cases.append((len(cases), f"pre{k} {text} post", n, whole))
+    table = spark.createDataFrame(cases, "doc_id long, text string, n long, whole boolean")
+    got = {r.doc_id: r["items"] for r in dc.contaminated(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    lost = [(n, text) for i, text, n, whole in cases if got.get(i) != (str(n) if whole else None)]
+    assert not lost, (len(lost), len(cases), lost[:3])
+
+
+def test_light_masks_miss_no_stretch():
+    from itertools import combinations
+
+    from colonnade.llm import decontamination as dc
+
+    # Longer stretches part into two, one of them with the share; fewer words with as many replaced are the hardest.
+    for n in [*range(4, 14), 16, 20, 24]:
+        masks = [int(m[::-1], 2) for m in (dc.LIGHT if n >= dc.OVERLAP else dc.LIGHTEST)]
+        shifted = [m << k for m in masks for k in range(n - m.bit_length() + 1)]
+        for places in combinations(range(n), n // 4):
+            gone = sum(1 << k for k in places)
+            assert any(not m & gone for m in shifted), (n, places)
+
+
 # 7 licenses
 
 
