@@ -4,7 +4,9 @@ The mix is a sequence of slots of ``block`` words.  Slot n goes to the source
 whose share of the interval [0, 1) holds the n-th golden-ratio point
 frac(n / phi), so every stretch of the schedule is close to the target weights.
 The k-th slot of a source takes the k-th block of that source's documents, which
-stand in a shuffled order, end to end, and begin anew when all are used.
+stand in a shuffled order, end to end, and begin anew when all are used.  A
+source that the points give too few slots (its share may hold none of them) gets
+the missing ones behind the others.
 """
 
 from __future__ import annotations
@@ -63,8 +65,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def schedule(targets: DataFrame, block: int) -> DataFrame:
     """Slots (source_rank, block): the k-th slot of each source, k from 0.
 
-    ``targets`` has source_rank and target.  There are a few slots more than the
-    targets need; the last ones of a source stay unused.
+    ``targets`` has source_rank and target.  Every source has the slots that its
+    target needs, and most a few more; the last ones of a source stay unused.
     """
     spark = targets.sparkSession
     sums = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count(F.lit(1))).first()
@@ -96,9 +98,15 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
         "source_rank", "id", F.lit(1).cast("long").alias("_one"),
         F.expr(f"id * {CELLS} div {max(slots, 1)}").alias("_part"),
     )
-    return running_sum(taken, ["source_rank"], ["_part"], ["id"], "_one", "block").select(
+    dealt = running_sum(taken, ["source_rank"], ["_part"], ["id"], "_one", "block").select(
         "source_rank", "block"
     )
+    held = taken.groupBy("source_rank").agg(F.count(F.lit(1)).alias("_have"))
+    short = targets.join(held, "source_rank", "left")
+    have = F.coalesce("_have", F.lit(0)).cast("long")
+    need = F.expr(f"(cast(floor(target) as long) + {block - 1}) div {block}")
+    missing = short.filter(have < need).select("source_rank", F.explode(F.sequence(have, need - 1)).alias("block"))
+    return dealt.union(missing)
 
 
 def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:

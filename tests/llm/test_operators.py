@@ -514,6 +514,37 @@ def test_mix(spark, docs, rows, none, wide):
     assert mixing.mix_sources(none).count() == 0 and mixing.mix_sources(wide).count() == len(rows)
 
 
+def test_tiny_sources_beside_huge_ones_have_their_slots(spark):
+    from colonnade.llm import mixing
+
+    for tiny in (100, 300, 1000, 5000):
+        sizes = [60_000_000, 40_000_000, 40_000_000, tiny, 30_000_000, tiny]
+        table = spark.createDataFrame([(False, f"s{k}", n) for k, n in enumerate(sizes)], "_null boolean, _key string, size long")
+        targets = mixing.source_targets(table).cache()
+        blocks = defaultdict(list)
+        for r in mixing.schedule(targets, mixing.BLOCK_WORDS).collect():
+            blocks[r.source_rank].append(r.block)
+        for r in targets.collect():
+            assert r.target == 3 * tiny or r.source_size > tiny
+            assert sorted(blocks[r.source_rank]) == list(range(len(blocks[r.source_rank])))
+            assert len(blocks[r.source_rank]) * mixing.BLOCK_WORDS >= math.floor(r.target)
+
+
+def test_tiny_sources_are_taken_to_the_word(spark, monkeypatch):
+    from colonnade.llm import mixing
+
+    monkeypatch.setattr(mixing, "SLOTS_EACH", 8)  # blocks of 4096 words on small tables
+    sizes = {"a": 60_000, "b": 50_000, "c": 50_000, "d": 10, "e": 60_000, "f": 10}
+    rows = [(k, "w " * (n // 10), s) for s, n in sizes.items() for k in range(10)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert target["d"] == target["f"] == 30.0
+    assert taken == {s: math.floor(x) for s, x in target.items()}
+
+
 def test_running_sum(spark):
     from pyspark.sql import functions as F
 
