@@ -7,11 +7,15 @@ c = ceil(THRESHOLD * n) of them, hence one of the first n - c + 1 (prefix
 filter); it has at least c distinct words (length filter); and its first match,
 at position p, leaves n - p >= c words (positional filter).  Only lines that
 pass are compared, and none that contain a notice fails.
+
+A wrapped notice stands in no single line.  Hence every run of words of about
+the notice's length, across line breaks, is compared in the same way.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from colonnade.llm.text import Words, blocks, utf8, word_hash
 
 THRESHOLD = 0.8
+#: Words of a run for each word of the notice: room for comment marks and inserted words.
+SPREAD = 1.25
 
 #: Phrases and their labels.
 PHRASES = {
@@ -65,6 +71,43 @@ class Join:
         self.prefix = np.array(sorted(self.by_word), np.uint64)
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.prefix >> np.uint64(48)).astype(np.int64)] = True
+        self.runs_of = [math.ceil(SPREAD * len(_words_of(text).hash)) for _, text in sorted(notices.items())]
+        self.words = np.array(sorted({w for _, notice, _ in self.notices for w in notice}), np.uint64)
+        self.member = np.array([[w in notice for w in self.words.tolist()] for _, notice, _ in self.notices], bool)
+        self.known = np.zeros(1 << 16, bool)
+        self.known[(self.words >> np.uint64(48)).astype(np.int64)] = True
+
+    def runs(self, words: Words):
+        """(text, label, containment) of texts with a run of words that contains a notice: the run with the most."""
+        some = np.flatnonzero(self.known[(words.hash >> np.uint64(48)).astype(np.int64)])
+        if not len(some) or not len(self.words):
+            return
+        word = np.minimum(np.searchsorted(self.words, words.hash[some]), len(self.words) - 1)
+        same = self.words[word] == words.hash[some]
+        some, word = some[same], word[same]
+        for (label, notice, need), size, member in zip(self.notices, self.runs_of, self.member, strict=True):
+            own = member[word]
+            at, held = some[own], word[own]
+            text = words.text[at]
+            # Runs that begin at a word of the notice and hold enough of its words, repeated ones included.
+            end = np.minimum(np.searchsorted(at, at + size), np.searchsorted(text, text, "right"))
+            first = np.flatnonzero(end - np.arange(len(at)) >= max(need, 1))
+            if not len(first):
+                continue
+            before = np.full(len(at), -1)
+            order = np.argsort(held, kind="stable")
+            again = held[order][1:] == held[order][:-1]
+            before[order[1:][again]] = order[:-1][again]
+            both = np.zeros(len(first), np.int64)
+            for step in range(size):
+                k = np.minimum(first + step, len(at) - 1)
+                both += (first + step < end[first]) & (before[k] < first)
+            enough = both >= need
+            most: dict[int, int] = {}
+            for t, n in zip(text[first[enough]].tolist(), both[enough].tolist(), strict=True):
+                most[t] = max(n, most.get(t, 0))
+            for t, n in most.items():
+                yield t, label, n / len(notice)
 
     def lines(self, words: Words, line: np.ndarray):
         """(text, label, containment) of lines that contain a notice; ``line`` numbers the words' lines."""
@@ -158,7 +201,7 @@ def scan_licenses(
                         t = int(words.text[w])
                         base.setdefault(t + i, []).append((w - int(words.first[t]), label))
                 line = np.searchsorted(np.flatnonzero(part == 10), words.start) + words.text
-                for t, label, share in join.lines(words, line):
+                for t, label, share in chain(join.lines(words, line), join.runs(words)):
                     own = more.setdefault(t + i, {})
                     own[label] = max(share, own.get(label, 0.0))
             rows = []

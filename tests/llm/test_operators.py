@@ -413,6 +413,43 @@ def test_license_join_is_exact():
         assert got == want
 
 
+def test_wrapped_notices(spark):
+    import textwrap
+
+    from colonnade.llm import licenses as lic
+
+    marks = ["", "# ", " * ", "// ", "-- ", "dnl ", "REM "]
+    cases = [
+        (label, "some code\n\n" + textwrap.fill(notice, 70, initial_indent=m, subsequent_indent=m) + f"\n{m}and more words follow")
+        for label, notice in lic.NOTICES.items() for m in marks
+    ]
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lic.scan_licenses(table).collect()}
+    for i, (label, text) in enumerate(cases):
+        assert label in got[i].labels.split(",") and got[i].score == 1.0, text
+
+
+def test_runs_of_words_are_exact():
+    from colonnade.llm import licenses as lic
+    from colonnade.llm.text import Words
+
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(30)]
+    notices = {f"n{k}": " ".join(rng.choices(vocabulary, k=rng.randrange(3, 12))) for k in range(12)}
+    texts = [rng.choices(vocabulary, k=rng.randrange(40)) for _ in range(200)]
+    raw = ["\n".join(t).encode() for t in texts]
+    words = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for threshold in (0.5, 0.8, 1.0):
+        want = set()
+        for k, text in enumerate(texts):
+            for label, notice in notices.items():
+                goal, size = set(notice.split()), math.ceil(lic.SPREAD * len(notice.split()))
+                most = max(len(goal & set(text[a : a + size])) for a in range(len(text) + 1))
+                if most >= threshold * len(goal) - 1e-9:
+                    want.add((k, label, round(most / len(goal), 9)))
+        assert {(t, label, round(x, 9)) for t, label, x in lic.Join(notices, {}, threshold).runs(words)} == want and want
+
+
 # 8 shards
 
 
