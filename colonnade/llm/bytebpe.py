@@ -3,7 +3,8 @@
 The tokenizer splits a text into pieces (words, numbers, runs of signs, white
 space) and encodes each piece on its own.  Here numpy splits, by the same rule,
 and the library encodes each distinct piece once; a text with an apostrophe
-before a letter goes to the library whole.
+before a letter, or with an added token such as <|endoftext|>, goes to the
+library whole.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([str(self.tokenizer.id_to_token(k)).startswith("\u0120") for k in range(size)])
         self._clear()
@@ -127,18 +128,22 @@ class Encoder:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         edges = np.cumsum(lengths) - lengths
         ids, counts = self._pieces(joined, code, edges, lengths)
+        odd = np.zeros(len(texts), bool)
         # An apostrophe before a letter may be an English ending, a piece of its own.
         if "'" in joined:
             kinds = classes()
             mark = np.flatnonzero(code[:-1] == 0x27)
             mark = mark[kinds[code[mark + 1]] == _LETTER]
-            odd = np.unique(np.searchsorted(edges, mark, "right") - 1)
-            odd = odd[lengths[odd] > 0] if len(odd) else odd
-            if len(odd):
-                parts = np.split(ids, np.cumsum(counts)[:-1])
-                for t, own in zip(odd.tolist(), self._whole([texts[t] for t in odd]), strict=True):
-                    parts[t], counts[t] = own, len(own)
-                ids = np.concatenate(parts)
+            odd[np.searchsorted(edges, mark, "right") - 1] = True
+        for token in self.added:
+            if token in joined:
+                odd |= np.fromiter((token in t for t in texts), bool, len(texts))
+        odd = np.flatnonzero(odd & (lengths > 0))
+        if len(odd):
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for t, own in zip(odd.tolist(), self._whole([texts[t] for t in odd]), strict=True):
+                parts[t], counts[t] = own, len(own)
+            ids = np.concatenate(parts)
         return ids, counts
 
     def _pieces(self, joined, code, edges, lengths):

@@ -144,6 +144,31 @@ def test_pieces_equal_the_tokenizers_own():
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.tolist() for x in e._whole(block)]
 
 
+def test_ids_are_those_of_the_unmodified_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from colonnade.llm import token_store as ts
+    from colonnade.llm.bytebpe import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    signs = ["<|endoftext|>", "<|endoftext|", "|endoftext|>", "a", " ", "\n", "1", "'s", "é", "it's", "<", "|>"]
+    rng = random.Random(4)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "plain", "", "<|endof", "text|>"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(300)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65]
+    e = Encoder(path)
+    for _ in range(2):
+        ids, counts = e.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in ts.encode_documents(table, path).collect():
+        own = [*want[r.doc_id], 2]
+        assert (r.n_tokens, r.ids_crc32, r.verified) == (len(own), zlib.crc32(np.array(own, "<u4").tobytes()), True)
+
+
 def test_chunks_follow_content():
     from colonnade.llm.token_store import LARGEST, chunk_ends, crc_of_pieces
 
