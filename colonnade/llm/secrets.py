@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models (DataFrame functions only).
 
 Two first-order Markov models over characters, one of random strings and one of
-ordinary identifiers, are counted from labelled samples.  A long token with
-letters and digits is a secret if random strings explain it better: if the mean
-log-likelihood ratio of its transitions is above MARGIN.
+ordinary words and identifiers, are counted from labelled samples.  A long token
+is a secret if random strings explain it better: if the mean log-likelihood
+ratio of its transitions is above MARGIN.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ BASE = {
 }
 #: Least length of the value (assign) or of the match.
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-#: Tokens that the models judge: at least LONG of these characters, with a letter and a digit.
+#: Tokens that the models judge: all of at least LONG of these characters.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-LONG, MARGIN = 16, 0.0
-TOKEN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{{{LONG},}}"
+LONG, MARGIN = 12, 0.0
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LONG},}}"
 
 #: Words that identifiers are made of.
 WORDS = (
@@ -44,9 +44,58 @@ WORDS = (
     "visible width window word worker write year zone"
 ).split()
 
+#: Ordinary words of several languages, most of them long; only the letters A to Z.
+PROSE = (
+    "accommodation acknowledgement administration advertisement agricultural approximately architecture "
+    "characteristic circumstances communication comprehensive congratulations consciousness consequently "
+    "consideration contemporary contribution controversial conventional correspondence demonstration determination "
+    "development disappointment distinguished electricity encouragement entertainment enthusiastic environmental "
+    "establishment extraordinary furthermore governmental grandchildren headquarters housekeeping hydrogen "
+    "immediately imagination independence infrastructure instrumental intelligence investigation jurisdiction "
+    "kindergarten knowledge laboratory legislative lightweight manufacturing mathematics measurement neighbourhood "
+    "nevertheless northwestern occasionally opportunity organization overwhelming parliamentary particularly "
+    "performance philosophical photographer possibility psychological qualification questionnaire recommendation "
+    "relationship representative responsibility revolutionary sophisticated straightforward strengthened "
+    "subsequently successfully symptomatically technological temperature thoughtfulness throughout transformation "
+    "transportation unbelievable understanding unfortunately vulnerability weatherproof whatsoever wholehearted "
+    "worthwhile yesterday "
+    "abgeschlossen arbeitslosigkeit aufmerksamkeit ausgezeichnet bedeutungsvoll beispielsweise bundesrepublik "
+    "durchschnittlich entscheidung entwicklung erfahrungen fachhochschule freundschaft geburtstag "
+    "geschwindigkeit gesellschaft gesundheitswesen grundlagenforschung hauptbahnhof jahrhundert krankenhaus "
+    "krankenversicherung landwirtschaft lebensmittel menschlichkeit mitgliedschaft nachrichten notwendigkeit "
+    "rechtschreibung schifffahrt schmetterling schwierigkeiten selbstverwaltung sicherheitsdienst sprachwissenschaft "
+    "verantwortung verschiedene vollkommen wahrscheinlichkeit weihnachtsbaum "
+    "wirtschaftswachstum wissenschaftler zeitschrift zusammenarbeit zwischenzeit "
+    "accompagnement actuellement apprentissage aujourd bouleversement chaussures communautaire "
+    "connaissance conseiller construction doucement enseignement enthousiasme environnement "
+    "essentiellement extraordinaire fonctionnement gouvernement heureusement immeubles investissement "
+    "lendemain longtemps malheureusement naturellement normalement particulier prochainement quelquefois "
+    "rapidement renseignement seulement soixante souvenirs toujours travailleur vraisemblable "
+    "acontecimiento administrativo agradecimiento aproximadamente ayuntamiento bachillerato comportamiento "
+    "conocimiento construir correspondiente desarrollo descubrimiento desgraciadamente diferencia "
+    "establecimiento extranjero funcionamiento guerrillero inmediatamente investigador llamamiento "
+    "mantenimiento maravilloso movimiento necesariamente pensamiento perfeccionamiento presupuesto "
+    "quebrantahuesos reconocimiento responsabilidad sencillamente sentimiento trabajadores universidad "
+    "avvenimento bellezza cambiamento certamente chiacchierare cittadinanza conoscenza difficilmente "
+    "giornalista insegnamento meraviglioso naturalmente ringraziamento soggiorno specialmente stabilimento "
+    "aantrekkelijk bijvoorbeeld geschiedenis gezelligheid maatschappelijk ontwikkeling tegenwoordig "
+    "verantwoordelijk verschillende waarschijnlijk ziekenhuis "
+    "apfelbaum aufpassen empfehlung empfindlich gesetzgebung grundsatz kopfschmerzen letztendlich netzwerk pflanzen "
+    "pflicht platzregen rechtsschutz schutzgebiet setzen sprechzimmer tatsache umsetzung zuletzt "
+    "animaux aieux bateaux cailloux chevaux dangereux eaux evaluation feuilleton heureux jeux journaux joueuse lieux "
+    "malheureux merveilleux mouillage mousseux nationaux nouveaux oiseaux ouailles ouest oui religieux rouage "
+    "serieux travaux vieux yeux "
+    "lorem ipsum dolor amet consectetur adipiscing eiusmod tempor incididunt labore magna aliqua veniam quis "
+    "nostrud exercitation ullamco laboris aliquip commodo consequat reprehenderit voluptate velit fugiat pariatur "
+    "excepteur occaecat cupidatat proident sunt culpa officia deserunt mollit laborum"
+).split()
+
 
 def labelled_samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """(random, value): random strings of common alphabets, and identifiers made of WORDS; from a rule."""
+    """(random, value): random strings of common alphabets, identifiers made of WORDS, and plain tokens; from a rule.
+
+    Plain tokens are PROSE in small, first-capital and capital letters, numbers and runs of one sign.
+    """
     ids = spark.range(rows)
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 512)
     raw = F.base64(F.unhex(digest))
@@ -71,7 +120,19 @@ def labelled_samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
         .when(F.col("id") % 6 == 4, F.concat(F.array_join(lower, "/"), F.lit("/"), word(3), number))
         .otherwise(F.concat(word(0), F.lit("-"), date, F.lit("-"), word(1)))
     )
-    return random.union(ids.select(F.lit(False), made))
+    prose = F.array(*[F.lit(w) for w in PROSE])
+    one = F.get(prose, F.pmod(F.xxhash64("id", F.lit(20)), F.lit(len(PROSE))).cast("int"))
+    two = F.get(prose, F.pmod(F.xxhash64("id", F.lit(21)), F.lit(len(PROSE))).cast("int"))
+    sign = F.substring(F.lit("+/_=-"), F.pmod("id", F.lit(5)).cast("int") + 1, F.lit(1))
+    plain = (
+        F.when(F.col("id") % 8 < 3, one)
+        .when(F.col("id") % 8 == 3, F.initcap(one))
+        .when(F.col("id") % 8 == 4, F.upper(one))
+        .when(F.col("id") % 8 == 5, F.concat_ws("-", F.initcap(one), two))
+        .when(F.col("id") % 8 == 6, F.abs(F.xxhash64("id", F.lit(22))).cast("string"))
+        .otherwise(F.repeat(sign, size.cast("int")))
+    )
+    return random.union(ids.select(F.lit(False), made)).union(ids.select(F.lit(False), plain))
 
 
 def train(samples: DataFrame) -> list[float]:

@@ -543,6 +543,29 @@ def test_models_part_held_out_strings(spark):
     assert sum(right) / len(right) > 0.98
 
 
+def test_recall_through_the_scan(spark):
+    import string
+
+    from colonnade.llm import secrets as sc
+
+    rng = random.Random(11)
+    letters, all_of = string.ascii_letters, string.ascii_letters + string.digits
+    kinds = [(letters, 24), (letters, 32), (all_of, 12), (all_of, 14), (all_of, 16), (all_of + "+/", 16), (letters[26:] + "234567", 16)]
+    keys = [(k, "".join(rng.choices(alphabet, k=n))) for k, (alphabet, n) in enumerate(kinds) for _ in range(200)]
+    plain = (  # no word of these is among the samples
+        "Internationalization characterization incomprehensible Weltanschauung Bundeskanzleramt Gemeinschaftskunde "
+        "anticonstitutionnellement gouvernementale extraordinariamente constitucionalmente precipitevolissimevolmente "
+        "getUserAccountName read_only_property some-long-file-name ================ ---------------- 1234567890123456"
+    ).split()
+    texts = [f"the {v} end" for _, v in keys] + [f"the {w} end" for w in plain]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in sc.scan_secrets(table, sc.train(sc.labelled_samples(spark))).collect()}
+    found = Counter(k for i, (k, v) in enumerate(keys) if f":4:{4 + len(v)}" in got[i])
+    assert all(found[k] >= 196 for k in range(len(kinds))), found
+    for i, w in enumerate(plain, len(keys)):
+        assert "random" not in got[i], w
+
+
 # 10 mixing
 
 
