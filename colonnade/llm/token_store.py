@@ -5,33 +5,37 @@ Layout under one folder::
     data/kind=chunk     key (digest), payload: ids as little-endian uint16 or uint32; each digest once
     data/kind=recipe    key (row), doc_id, n_tokens, payload: the digests of the document's chunks
     recipes             doc_id order: part, seq, doc_id, n_tokens, local_start, digests, leaf
-    manifest            part, n_docs, n_tokens, start, root
+    manifest            part, n_docs, n_tokens, start, root, store_root, width
 
 A rolling hash over the last WINDOW ids cuts a document's ids into chunks, so
 equal passages give equal chunks wherever they stand.  A document's leaf hashes
-its id, length and digests; a part's root is the Merkle root of its leaves, and
-the store's root that of the parts' roots.
+its id, length and digests; a node of the Merkle tree hashes up to FAN nodes
+below it, a part's root stands over the leaves of the part, and the store's root
+over those of the parts.  Ids take ``width`` bytes: two where the vocabulary
+allows it, else four.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colonnade.llm.bytebpe import encoder, texts_of
-from colonnade.llm.text import mix
-from colonnade.llm.work import fresh_path
+from colonnade.llm.text import blocks, mix, utf8
+from colonnade.llm.work import fresh_path, release_memory
 
 #: Ids in the rolling hash; mean and largest ids of a chunk.
 WINDOW, MEAN, LARGEST = 16, 512, 4096
 DIGEST = 16
-#: Texts encoded at once, in characters.
+#: Nodes under one node of the Merkle tree.
+FAN = 256
+#: Texts encoded at once, in bytes.
 TEXT_BLOCK = 1 << 19
 
 
@@ -67,16 +71,6 @@ def chunk_ends(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ends, np.searchsorted(stop, ends, "left")
 
 
-def merkle_root(leaves: list[bytes]) -> bytes:
-    """Pairs are hashed level by level; an odd one rises as it is."""
-    if not leaves:
-        return hashlib.sha256(b"").digest()
-    while len(leaves) > 1:
-        paired = [hashlib.sha256(b"\x01" + a + b).digest() for a, b in zip(leaves[::2], leaves[1::2])]
-        leaves = paired + ([leaves[-1]] if len(leaves) % 2 else [])
-    return leaves[0]
-
-
 def leaf(doc_id: int | None, n_tokens: int, digests: bytes) -> bytes:
     name = b"" if doc_id is None else doc_id.to_bytes(8, "little", signed=True)
     return hashlib.sha256(b"\x00" + name + n_tokens.to_bytes(8, "little") + digests).digest()
@@ -85,59 +79,54 @@ def leaf(doc_id: int | None, n_tokens: int, digests: bytes) -> bytes:
 _DATA = "kind string, key binary, doc_id long, n_tokens long, payload binary"
 
 
-def _blocks_of(texts: list[str]):
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= TEXT_BLOCK):
-            size += len(texts[j])
-            j += 1
-        yield i, j
-        i = j
-
-
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
     """Encode every text, append ``end_id``, and write the store.
 
     Null texts count as empty (the end id alone); repeated rows are documents of
     their own, in the order of their place; a null doc_id stands first; an empty
-    table gives an empty store.  Other columns are ignored.
+    table gives an empty store.  Other columns are ignored.  Raises where the
+    vocabulary does not hold ``end_id``.
     """
     spark = docs.sparkSession
+    if not 0 <= end_id < len(encoder(tokenizer_path).spaced):
+        raise ValueError(f"no such id in the vocabulary: {end_id}")
 
     def run(batches):
-        encode = encoder(tokenizer_path).encode
+        own = encoder(tokenizer_path)
+        little = own.kind.newbyteorder("<")
+        width = own.kind.itemsize
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            names = batch.column(1).to_pylist()
-            texts = texts_of(batch.column(2))
+            _, offsets = utf8(batch.column(2))
             seen: set[bytes] = set()
-            for i, j in _blocks_of(texts):
-                ids, counts = encode(texts[i:j])
-                whole = np.full(len(ids) + j - i, end_id, np.uint16)
+            for i, j in blocks(offsets, TEXT_BLOCK):
+                keys = batch.column(0).slice(i, j - i).to_pylist()
+                names = batch.column(1).slice(i, j - i).to_pylist()
+                ids, counts = own.encode(texts_of(batch.column(2).slice(i, j - i)))
+                whole = np.full(len(ids) + j - i, end_id, own.kind)
                 stop = np.cumsum(counts + 1)
                 keep = np.ones(len(whole), bool)
                 keep[stop - 1] = False
                 whole[keep] = ids
                 ends, owner = chunk_ends(whole, counts + 1)
-                raw = whole.astype("<u2").tobytes()
+                raw = whole.astype(little).tobytes()
                 rows: list[tuple] = []
                 digests: list[list[bytes]] = [[] for _ in range(j - i)]
                 at = 0
-                for end, own in zip(ends.tolist(), owner.tolist(), strict=True):
-                    chunk = raw[2 * at : 2 * end]
+                for end, of in zip(ends.tolist(), owner.tolist(), strict=True):
+                    chunk = raw[width * at : width * end]
                     at = end
                     name = hashlib.blake2b(chunk, digest_size=DIGEST).digest()
-                    digests[own].append(name)
+                    digests[of].append(name)
                     if name not in seen:
                         seen.add(name)
                         rows.append(("chunk", name, None, None, chunk))
                 for d in range(j - i):
-                    row = b"r" + keys[i + d].to_bytes(8, "big", signed=True)
-                    rows.append(("recipe", row, names[i + d], int(counts[d]) + 1, b"".join(digests[d])))
+                    row = b"r" + keys[d].to_bytes(8, "big", signed=True)
+                    rows.append(("recipe", row, names[d], int(counts[d]) + 1, b"".join(digests[d])))
                 kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "doc_id", "n_tokens", "payload"])
+        release_memory()
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
@@ -174,13 +163,14 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
         number,
         "part int, seq long, doc_id long, n_tokens long, local_start long, digests binary, leaf binary",
     ).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _manifest(_read(spark, path, "recipes")).write.parquet(f"{path}/manifest")
+    width = F.lit(encoder(tokenizer_path).kind.itemsize).alias("width")
+    _manifest(_read(spark, path, "recipes")).select("*", width).write.parquet(f"{path}/manifest")
 
 
 def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
     schemas = {
         "recipes": "part int, seq long, doc_id long, n_tokens long, local_start long, digests binary, leaf binary",
-        "manifest": "part int, n_docs long, n_tokens long, start long, root binary",
+        "manifest": "part int, n_docs long, n_tokens long, start long, root binary, store_root binary, width int",
     }
     return spark.read.schema(schemas[name]).parquet(f"{path}/{name}")
 
@@ -189,31 +179,44 @@ def _data(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(_DATA).option("basePath", f"{path}/data").parquet(f"{path}/data").filter(F.col("kind") == kind)
 
 
+def _over(nodes: DataFrame, keys: list[str], to: str) -> DataFrame:
+    """One node for each ``keys``, over up to FAN nodes (_at, _node) in the order of _at."""
+    below = F.sort_array(F.collect_list(F.struct("_at", "_node")))
+    joined = F.concat(F.lit(b"\x01"), F.unhex(F.array_join(F.transform(below, lambda x: F.hex(x["_node"])), "")))
+    return nodes.groupBy(*keys).agg(F.unhex(F.sha2(joined, 256)).alias(to))
+
+
+def _roots(nodes: DataFrame, count: int) -> DataFrame:
+    """(part, root) of nodes (part, _at, _node), ``count`` in a part at most; FAN nodes meet in one row, never a part."""
+    while count > FAN:
+        above = _over(nodes.withColumn("_up", F.expr(f"_at div {FAN}")), ["part", "_up"], "_node")
+        nodes, count = above.withColumnRenamed("_up", "_at"), -(-count // FAN)
+    return _over(nodes, ["part"], "root")
+
+
 def _manifest(recipes: DataFrame) -> DataFrame:
-    """One row for each part, in doc_id order: n_docs, n_tokens, start, root."""
-
-    def root(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
-        return pa.table({
-            "part": table["part"].slice(0, 1), "n_docs": pa.array([table.num_rows]),
-            "n_tokens": pa.array([sum(table["n_tokens"].to_pylist())]),
-            "root": pa.array([merkle_root(table["leaf"].to_pylist())]),
-        })
-
-    parts = (
-        recipes.select("part", "seq", "n_tokens", "leaf")
-        .groupBy("part")
-        .applyInArrow(root, "part int, n_docs long, n_tokens long, root binary")
-    )
+    """One row for each part, in doc_id order: n_docs, n_tokens, start, root, store_root."""
+    parts = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    largest, number = parts.agg(F.max("n_docs"), F.max("part") + 1).first()
+    leaves = recipes.select("part", F.col("seq").alias("_at"), F.col("leaf").alias("_node"))
+    parts = parts.join(_roots(leaves, largest or 0), "part")
+    # From here on there is one row a part.
+    tops = parts.select(F.lit(0).alias("part"), F.col("part").cast("long").alias("_at"), F.col("root").alias("_node"))
+    top = _roots(tops, number or 0).select("root").scalar().alias("store_root")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")
-    return parts.select("part", "n_docs", "n_tokens", start, "root")
+    return parts.select("part", "n_docs", "n_tokens", start, "root", top)
 
 
-def store_root(spark: SparkSession, path: str) -> str:
-    """Merkle root of the whole store (one row a part reaches the driver)."""
-    roots = [bytes(r[0]) for r in _read(spark, path, "manifest").orderBy("part").select("root").collect()]
-    return merkle_root(roots).hex()
+def store_root(spark: SparkSession, path: str) -> str | None:
+    """Merkle root of the whole store, None if it is empty."""
+    found = _read(spark, path, "manifest").select("store_root").first()
+    return bytes(found[0]).hex() if found else None
+
+
+def _width(spark: SparkSession, path: str) -> int:
+    found = _read(spark, path, "manifest").select("width").first()
+    return found[0] if found else 2
 
 
 @lru_cache(maxsize=1)
@@ -264,19 +267,22 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 
     Every chunk is read and its digest recomputed; a document's CRC-32 (of its
     ids as uint32) is put together from those of its chunks.  ``verified``: all
-    chunks are there and whole, and the Merkle leaf is that of the recipe.
+    chunks are there and whole, the Merkle leaf is that of the recipe, and the
+    manifest's row of the part and its store root are those of the leaves.
     """
+    width = _width(spark, path)
 
     def weigh(batches):
         for batch in batches:
             keys, chunks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            wide = [np.frombuffer(c, "<u2").astype("<u4").tobytes() for c in chunks]
+            crcs = [zlib.crc32(np.frombuffer(c, f"<u{width}").astype("<u4").tobytes()) for c in chunks]
             whole = [hashlib.blake2b(c, digest_size=DIGEST).digest() == k for k, c in zip(keys, chunks, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(w) // 4 for w in wide], pa.int32()),
-                 pa.array([zlib.crc32(w) for w in wide], pa.int64()), pa.array(whole, pa.bool_())],
+                [batch.column(0), pa.array([len(c) // width for c in chunks], pa.int32()),
+                 pa.array(crcs, pa.int64()), pa.array(whole, pa.bool_())],
                 ["digest", "n", "crc", "whole"],
             )
+        release_memory()
 
     chunks = _data(spark, path, "chunk").select("key", "payload")
     chunks = chunks.mapInArrow(weigh, "digest binary, n int, crc long, whole boolean")
@@ -288,11 +294,15 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("pos", "n", "crc"))).alias("pieces"),
         F.every(F.coalesce("whole", F.lit(False))).alias("whole"),
     )
-    starts = _read(spark, path, "manifest").select("part", "start")
+    kept, again = _read(spark, path, "manifest").drop("width"), _manifest(recipes)
+    same = [kept[c] == again[c] for c in kept.columns]
+    sound = F.coalesce(reduce(Column.__and__, same[1:]), F.lit(False)).alias("sound")
+    # One row a part.
+    starts = kept.join(again, same[0], "left").select(kept["part"], kept["start"], sound)
     joined = recipes.join(found, ["part", "seq"]).join(starts, "part")
     joined = joined.select(
         "doc_id", (F.col("start") + F.col("local_start")).alias("start"), "n_tokens", "digests", "leaf",
-        "whole", F.col("pieces.n").alias("n"), F.col("pieces.crc").alias("crc"),
+        (F.col("whole") & F.col("sound")).alias("whole"), F.col("pieces.n").alias("n"), F.col("pieces.crc").alias("crc"),
     )
 
     def finish(batches):
@@ -317,6 +327,7 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and ids (array of int) of every document, put together from its chunks."""
+    width = _width(spark, path)
     recipes = _read(spark, path, "recipes")
     place = F.posexplode(F.expr(f"transform(sequence(0, octet_length(digests) div {DIGEST} - 1), "
                                 f"i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")).alias("pos", "key")
@@ -330,7 +341,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = [np.frombuffer(b"".join(p), "<u2").astype(np.int32) for p in batch.column(2).to_pylist()]
+            ids = [np.frombuffer(b"".join(p), f"<u{width}").astype(np.int32) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"]
             )

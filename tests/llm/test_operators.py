@@ -107,7 +107,6 @@ def test_token_store(spark, docs, rows, none, wide):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     store = fresh_path(spark, "test-store")
     got = ts.encode_documents(docs, path, store).collect()
     assert all(r.verified for r in got) and len(got) == len(rows)
@@ -130,18 +129,105 @@ def test_token_store(spark, docs, rows, none, wide):
     assert ts.encode_documents(wide, path).count() == len(rows)
 
 
-def test_pieces_equal_the_tokenizers_own():
+def test_changed_files_are_noticed(spark, docs, tmp_path):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from colonnade.llm import token_store as ts
+
+    some = docs.filter("doc_id < 60")
+    n = some.count()
+    store = f"{tmp_path}/store"
+    ts.write_store(some, store, public_tokenizers.path("byte_bpe_50k.json"))
+
+    def verified(name, change):
+        """Documents still verified after ``change`` of one file; the file is put back."""
+        import shutil
+
+        kept = spark.read.parquet(f"{store}/{name}")
+        shutil.copytree(f"{store}/{name}", f"{tmp_path}/kept")
+        change(kept).write.parquet(f"{tmp_path}/new")
+        shutil.rmtree(f"{store}/{name}")
+        shutil.move(f"{tmp_path}/new", f"{store}/{name}")
+        found = ts.read_summary(spark, store).filter("verified").count()
+        shutil.rmtree(f"{store}/{name}")
+        shutil.move(f"{tmp_path}/kept", f"{store}/{name}")
+        return found
+
+    assert verified("recipes", lambda d: d) == n
+    one = F.col("doc_id") == 9
+    # A leaf that fits its changed recipe still is not the one under the part's root.
+    forged = F.udf(lambda i, k, d: ts.leaf(i, k, bytes(d)), "binary")
+    assert verified("recipes", lambda d: d.withColumn("leaf", F.when(one, F.unhex(F.sha2("leaf", 256))).otherwise(F.col("leaf")))) < n
+    shorter = lambda d: d.withColumn("n_tokens", F.col("n_tokens") - one.cast("int")).withColumn("leaf", forged("doc_id", "n_tokens", "digests"))
+    assert verified("recipes", shorter) == 0
+    assert verified("manifest", lambda d: d.withColumn("root", F.when(F.col("part") == 0, F.unhex(F.sha2("root", 256))).otherwise(F.col("root")))) < n
+    assert verified("manifest", lambda d: d.withColumn("store_root", F.unhex(F.sha2("store_root", 256)))) == 0
+    flip = F.concat(F.expr("substring(payload, 3)"), F.lit(b"\x01\x02"))
+    chunk = F.col("kind") == "chunk"
+    data = lambda d: d.withColumn("payload", F.when(chunk & (F.octet_length("payload") > 4), flip).otherwise(F.col("payload")))
+    assert verified("data", lambda d: data(d).select(*ts._DATA.replace(",", "").split()[::2])) < n / 2
+
+
+def test_roots_over_many_leaves(spark, monkeypatch):
+    from colonnade.llm import token_store as ts
+
+    monkeypatch.setattr(ts, "FAN", 3)
+    leaves = [hashlib.sha256(bytes([k])).digest() for k in range(25)]
+    rows = [(k % 2, k // 2, k, 10 + k, leaf) for k, leaf in enumerate(leaves)]
+    table = spark.createDataFrame(rows, "part int, seq long, doc_id long, n_tokens long, leaf binary")
+
+    def root(nodes):
+        while True:
+            nodes = [hashlib.sha256(b"\x01" + b"".join(nodes[k : k + 3])).digest() for k in range(0, len(nodes), 3)]
+            if len(nodes) == 1:
+                return nodes[0]
+
+    got = {r.part: r for r in ts._manifest(table).collect()}
+    assert [bytes(got[p].root) for p in (0, 1)] == [root(leaves[0::2]), root(leaves[1::2])]
+    assert bytes(got[0].store_root) == root([root(leaves[0::2]), root(leaves[1::2])])
+    assert got[1].start == got[0].n_tokens == sum(10 + k for k in range(0, 25, 2))
+
+
+def test_ids_of_four_bytes(spark, docs, rows, tmp_path):
+    import public_tokenizers
+    from tokenizers import AddedToken, Tokenizer
+
+    from colonnade.llm import token_store as ts
+
+    large = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    large.add_tokens([AddedToken(f"<extra{k}>", normalized=False) for k in range(20_000)])
+    large.save(f"{tmp_path}/large.json")
+    texts = ["a <extra19999> b", "plain words", ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in ts.encode_documents(table, f"{tmp_path}/large.json", f"{tmp_path}/store").collect()}
+    for k, text in enumerate(texts):
+        own = [*large.encode(text, add_special_tokens=False).ids, 2]
+        assert (got[k].n_tokens, got[k].ids_crc32, got[k].verified) == (len(own), zlib.crc32(np.array(own, "<u4").tobytes()), True)
+    assert max(max(r.ids) for r in ts.read_documents(spark, f"{tmp_path}/store").collect()) > 1 << 16
+    with pytest.raises(ValueError):
+        ts.write_store(table, f"{tmp_path}/no", f"{tmp_path}/large.json", end_id=1 << 20)
+
+
+def test_pieces_equal_the_tokenizers_own(monkeypatch):
     import public_tokenizers
 
+    from colonnade.llm import bytebpe
     from colonnade.llm.bytebpe import Encoder
 
     e = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(2)
-    signs = ["a", "bc", " ", "  ", "\n", "\t", "'", "'s", "'ll", "1", "½", "é", "漢", "!", "...", " ", "<|endoftext|>", "don't", "😀"]
+    signs = ["a", "bc", " ", "  ", "\n", "\t", "'", "'s", "'ll", "1", "½", "é", "漢", "!", "...", " ", "<|endoftext|>", "don't", "😀", "'S", "''ve", "'re", "'r", "'v", "averyveryverylongwordindeed", " qwertzuiopasdfghjklyxcvbnm"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(600)] + [""]
     for block in (texts, texts[::-1]):  # the second time from memory
         ids, counts = e.encode(block)
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.tolist() for x in e._whole(block)]
+    monkeypatch.setattr(bytebpe, "PART", 40)
+    monkeypatch.setattr(bytebpe, "SLOTS", 8)
+    e = bytebpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    long = [" ".join(rng.choice(signs) for _ in range(rng.randrange(400))) for _ in range(60)] + ["x" * 500, "a b" * 200]
+    ids, counts = e.encode(long)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.tolist() for x in e._whole(long)]
 
 
 def test_ids_are_those_of_the_unmodified_library(spark):
