@@ -103,8 +103,25 @@ def _isqrt(c, kind):
 
 def _modf(c, kind):
     x = _d(c)
-    whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
-    return _present(c, F.array(x - whole, whole)), list
+    # Past 2**52 every double is whole; the cast to long is exact below.
+    whole = F.when(F.abs(x) < float(1 << 52), F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")).otherwise(x)
+    part = F.when(F.abs(x) == INF, L(0.0)).otherwise(x - whole)
+    return _present(c, F.array(part, whole)), list
+
+
+def _asinh(x):
+    """Exact near zero as well, where a logarithm of 1 + x loses digits."""
+    size = F.abs(x)
+    large = F.ln(size) + math.log(2.0)
+    small = F.log1p(size + size * size / (1.0 + F.sqrt(1.0 + size * size)))
+    return F.signum(x) * F.when(size > float(1 << 28), large).otherwise(small)
+
+
+def _copysign(c, kind, sign):
+    x, y = _d(c), _d(sign)
+    # The text of a zero shows its sign.
+    negative = (y < 0) | ((y == 0) & (y.cast("string") == "-0.0"))
+    return F.when(y.isNotNull(), F.when(negative, -F.abs(x)).otherwise(F.abs(x))), float
 
 
 UNARY = {
@@ -135,7 +152,7 @@ UNARY = {
     "sin": _real(F.sin, lambda x: F.abs(x) == INF),
     "tan": _real(F.tan, lambda x: F.abs(x) == INF),
     "acosh": _real(F.acosh, lambda x: x < 1),
-    "asinh": _real(F.asinh),
+    "asinh": _real(_asinh),
     "atanh": _real(F.atanh, lambda x: F.abs(x) >= 1),
     "cosh": _bounded(F.cosh),
     "sinh": _bounded(F.sinh),
@@ -198,7 +215,7 @@ def _fmod(c, kind, divisor):
 
 BINARY = {
     "comb": lambda c, kind, k: _each(_comb(math.comb), "long", int)(c, int, k),
-    "copysign": lambda c, kind, sign: _each(math.copysign, "double", float)(_d(c), float, _d(sign)),
+    "copysign": _copysign,
     "fmod": _fmod,
     "ldexp": lambda c, kind, e: (_d(c) * F.pow(L(2.0), _d(e)), float),
     "nextafter": lambda c, kind, to: _each(lambda a, b: float(np.nextafter(a, b)), "double", float)(_d(c), float, _d(to)),

@@ -29,6 +29,12 @@ def python(name: str, returns: str, kind):
     return build
 
 
+def plain_or_python(c: Column, plain: Column, name: str, returns: str, kind):
+    """``plain`` for ASCII values, else Python's own: ASCII values reach the Python workers as nulls."""
+    ascii_ = c.rlike(r"^\p{ASCII}*\z")
+    return F.when(ascii_, plain).otherwise(python(name, returns, kind)(F.when(~ascii_, c))[0]), kind
+
+
 def _count(c, sub):
     if sub == "":
         return F.length(c).cast("long") + 1, int
@@ -184,7 +190,9 @@ METHODS = {
     "after": _after,
     "before_last": _before_last,
     "after_last": lambda c, sep: (F.substring_index(c, sep, -1), str),
-    "capitalize": lambda c: (F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, L(2), F.length(c)))), str),
+    "capitalize": lambda c: plain_or_python(
+        c, F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, L(2), F.length(c)))), "capitalize", "string", str
+    ),
     "casefold": python("casefold", "string", str),
     "center": lambda c, width, fillchar=" ": _pad(c, width, fillchar, "both"),
     "encode": lambda c, encoding="utf-8", errors="strict": (
@@ -200,11 +208,11 @@ METHODS = {
     "isalpha": lambda c: (c.rlike(r"^\p{L}+\z"), bool),
     "isascii": lambda c: (c.rlike(r"^\p{ASCII}*\z"), bool),
     "isdecimal": lambda c: (c.rlike(r"^\p{Nd}+\z"), bool),
-    "isdigit": python("isdigit", "boolean", bool),
-    "isidentifier": python("isidentifier", "boolean", bool),
+    "isdigit": lambda c: plain_or_python(c, c.rlike(r"^[0-9]+\z"), "isdigit", "boolean", bool),
+    "isidentifier": lambda c: plain_or_python(c, c.rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z"), "isidentifier", "boolean", bool),
     "islower": lambda c: ((c == F.lower(c)) & (c != F.upper(c)), bool),
-    "isnumeric": python("isnumeric", "boolean", bool),
-    "isprintable": python("isprintable", "boolean", bool),
+    "isnumeric": lambda c: plain_or_python(c, c.rlike(r"^[0-9]+\z"), "isnumeric", "boolean", bool),
+    "isprintable": lambda c: plain_or_python(c, c.rlike(r"^[\x20-\x7E]*\z"), "isprintable", "boolean", bool),
     "isspace": lambda c: (c.rlike(f"^{SPACE}+\\z"), bool),
     "istitle": python("istitle", "boolean", bool),
     "isupper": lambda c: ((c == F.upper(c)) & (c != F.lower(c)), bool),

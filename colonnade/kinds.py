@@ -85,6 +85,43 @@ def infer(values) -> tuple[type, bool]:
     return (object, True) if kind is None else (kind if kind in SPARK or kind in (Decimal, list, dict, tuple) else object, nullable)
 
 
+_NAMES = {k.__name__: k for k in (bool, int, float, str, bytes, dt.date, dt.datetime, dt.timedelta, Decimal, list, dict)}
+
+
+def name_of(value) -> str:
+    """The name of a value's kind, as UDFs report it; numpy's numbers count as Python's."""
+    if value is None:
+        return ""
+    value = value.item() if hasattr(value, "item") else value
+    own = type(value).__name__
+    if own == "int" and not -(1 << 63) <= value < 1 << 63:
+        return "object"
+    return own if own in _NAMES else "object"
+
+
+def named(names) -> type:
+    """The kind that holds values of all these kinds; object if there is none, or no value."""
+    found = [_NAMES.get(n, object) for n in names if n]
+    kind = found[0] if found else object
+    for other in found[1:]:
+        kind = promote(kind, other) or object
+    return kind if kind in SPARK else object
+
+
+def exactly(value, kind):
+    """A Python value as a column of ``kind`` holds it; raises where that would change it."""
+    if value is None:
+        return None
+    value = value.item() if hasattr(value, "item") else value
+    if kind is object:
+        return value if isinstance(value, str) else str(value)
+    if not isinstance(kind, type) or type(value) is kind:
+        return value
+    if promote(type(value), kind) is kind:
+        return convert(value, kind)
+    raise ColumnTypeError(f"{value!r} is no {kind.__name__}; name its kind with returns=")
+
+
 def check_values(values, kind, nullable: bool) -> None:
     for k, v in enumerate(values):
         if v is None:

@@ -90,17 +90,26 @@ def shift(op: str, left: Typed, right: Typed) -> Typed:
     return fail_if(n < 0, "negative shift count", fail_if(lost, "integer overflow in <<", out)), int
 
 
-def modulo(a: Column, b: Column) -> Column:
+def modulo(a: Column, b: Column, kind=int) -> Column:
     """Remainder with the sign of the divisor; 0 fails (ANSI)."""
     rest = a % b
-    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+    out = F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+    if kind is float:
+        # A zero has the divisor's sign.
+        out = F.when(rest == 0, F.when(b < 0, F.lit(-0.0)).otherwise(F.lit(0.0))).otherwise(out)
+    return out
 
 
 def floor_quotient(a: Column, b: Column, kind) -> Column:
     """Quotient rounded down; 0 fails (ANSI)."""
     if kind is float:
-        # floor(a / b) is off where the quotient rounds up to a whole number.
-        return F.rint((a - modulo(a, b)) / b)
+        # As Python's divmod: the truncated remainder makes the quotient nearly whole, and half a unit decides.
+        rest = a % b
+        near = (a - rest) / b
+        near = F.when((rest != 0) & ((rest < 0) != (b < 0)), near - 1.0).otherwise(near)
+        # Past 2**52 every double is whole; below, rounding to long and back is exact.
+        low = F.when(F.abs(near) < float(1 << 52), F.floor(near).cast("double")).otherwise(near)
+        return F.when(near - low > 0.5, low + 1.0).otherwise(low)
     whole = F.call_function("div", a, b)
     down = (whole * b != a) & ((a < 0) != (b < 0))
     return whole - down.cast("long")
@@ -157,7 +166,7 @@ def arithmetic(op: str, left: Typed, right: Typed) -> Typed:
     if op == "//":
         return floor_quotient(a, b, goal), goal
     if op == "%":
-        return modulo(a, b), goal
+        return modulo(a, b, goal), goal
     if op == "**":
         return power(a, b, goal), goal
     return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b}[op](), goal

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import statistics
 import warnings
 from dataclasses import dataclass, field
 from functools import reduce as fold
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from colonnade import kinds
-from colonnade.errors import ColumnKeyError, ColumnTypeError, ColumnValueError, EmptyReductionWarning
+from colonnade.errors import ColumnTypeError, ColumnValueError, EmptyReductionWarning
 from colonnade.frame import Frame, fresh
 from colonnade.naming import unique_names
 from colonnade.operators import elementwise as E
 from colonnade.operators import reductions as R
+from colonnade.operators.local import LocalTable, LocalVector
 
 
 @dataclass
@@ -29,12 +30,18 @@ class Output:
 
     @property
     def gathered(self) -> bool:
-        """Runs as a grouped aggregate UDF, which Spark does not mix with built-in aggregates."""
+        """Runs as a Python aggregate over parts of a group, and then over the parts' results."""
         v = self.vector
         return self.registry is R.MATH and (
             self.reduction in ("fsum", "gcd", "lcm") or self.reduction == "prod" and v._kind is int
         )
 
+    @property
+    def two_level(self) -> bool:
+        """Counts the values first."""
+        exclusive = self.reduction == "quantiles" and self.arguments.get("method", "exclusive") == "exclusive"
+        return self.registry is R.STATS and (self.reduction in R.TWO_LEVEL or exclusive)
+
     def column(self, rank) -> tuple[Column, type]:
         return self.registry[self.reduction](self.vector.value_column, self.vector._kind, rank, **self.arguments)
 
@@ -76,41 +83,63 @@ def _traced(table, fn, rank) -> AggExpr | None:
     from colonnade.vector import Vector
 
     class GroupVector(Vector):
+        _masked = False  # nulls stand for rows that a mask leaves out: reductions skip both alike
+
         def _reduce(self, name, registry=R.BASIC, **arguments):
-            if name in R.TWO_LEVEL:
+            if name in R.TWO_LEVEL or self._masked and name in ("first", "last"):
+                raise _Untraceable
+            if self._masked and any(isinstance(v, Vector) for v in arguments.values()):
                 raise _Untraceable
             arguments = {k: v._col if isinstance(v, Vector) else v for k, v in arguments.items()}
             out = Output(name, self, name, registry, arguments)
-            if out.gathered:
+            if out.gathered or out.two_level:
                 raise _Untraceable
             return AggExpr(*out.column(rank))
 
         def _with(self, col, kind=None, nullable=None, name=None, categories=None):
+            if self._masked:
+                raise _Untraceable
             base = Vector._with(self, col, kind, nullable, name, categories)
             return object.__new__(GroupVector)._set(base._frame, base._col, base._kind, base._nullable, name, categories)
 
         def _binary(self, *args, **kwargs):
+            if self._masked or any(getattr(a, "_masked", False) for a in args):
+                raise _Untraceable
             base = Vector._binary(self, *args, **kwargs)
             if base._frame is not self._frame:
                 raise _Untraceable
             return object.__new__(GroupVector)._set(base._frame, base._col, base._kind, base._nullable)
 
+        def __getitem__(self, key):
+            if not isinstance(key, GroupVector) or key._kind is not bool or key._masked or self._masked or self._categories:
+                raise _Untraceable
+            out = object.__new__(GroupVector)._set(self._frame, F.when(key._col, self._col), self._kind, True)
+            out._masked = True
+            return out
+
         def _forbidden(self, *args, **kwargs):
             raise _Untraceable
 
-        __len__ = __iter__ = __getitem__ = to_list = unique = dropna = sort_by = _rows = _forbidden
+        __len__ = __iter__ = to_list = unique = dropna = sort_by = _rows = _forbidden
 
     class GroupTable(type(table)):
+        _mask = None
+
         def __getitem__(self, key):
             if isinstance(key, str):
                 return self._grouped(super().__getitem__(key))
+            if isinstance(key, GroupVector) and self._mask is None:
+                out = object.__new__(GroupTable)
+                out._frame, out._columns, out._table_name, out._mask = self._frame, self._columns, None, key
+                return out
             raise _Untraceable
 
         def __getattr__(self, name):
             return self._grouped(super().__getattr__(name))
 
         def _grouped(self, v):
-            return object.__new__(GroupVector)._set(v._frame, v._col, v._kind, v._nullable, v._name, v._categories, True)
+            out = object.__new__(GroupVector)._set(v._frame, v._col, v._kind, v._nullable, v._name, v._categories, True)
+            return out if self._mask is None else out[self._mask]
 
         def __len__(self):
             raise _Untraceable
@@ -126,76 +155,12 @@ def _traced(table, fn, rank) -> AggExpr | None:
     return None
 
 
-class LocalVector(list):
-    """A group's column as Python values, for callables that cannot be traced."""
-
-    def _present(self):
-        return [v for v in self if v is not None]
-
-    def sum(self):
-        return sum(self._present())
-
-    def count(self, *a):
-        return list.count(self, *a) if a else len(self._present())
-
-    def min(self):
-        return min(self._present(), default=None)
-
-    def max(self):
-        return max(self._present(), default=None)
-
-    def mean(self):
-        found = self._present()
-        return statistics.fmean(found) if found else None
-
-    def first(self):
-        return self[0] if self else None
-
-    def last(self):
-        return self[-1] if self else None
-
-    def all(self):
-        return all(self._present())
-
-    def any(self):
-        return any(self._present())
-
-    def stdev(self):
-        found = self._present()
-        return statistics.stdev(found) if len(found) > 1 else None
-
-    def unique(self):
-        return LocalVector(dict.fromkeys(self))
-
-
-class LocalTable:
-    def __init__(self, names, columns):
-        self._names, self._values = names, columns
-
-    def __getitem__(self, name):
-        try:
-            return self._values[self._names.index(name)]
-        except ValueError:
-            raise ColumnKeyError(name) from None
-
-    def __getattr__(self, name):
-        try:
-            return self[name]
-        except ColumnKeyError:
-            raise AttributeError(name) from None
-
-    def __len__(self):
-        return len(self._values[0]) if self._values else 0
-
-
-def _plain(value):
-    if value is None or value is pd.NaT or value is pd.NA or isinstance(value, float) and value != value:
-        return None
-    return value.item() if hasattr(value, "item") else value
-
-
 def _udaf(table, fn, keys: list[str], order: str, returns, out: str):
-    """groupBy(keys).applyInPandas: the callable over each group as a local table, rows in order."""
+    """groupBy(keys).applyInArrow: the callable over each group as a local table, rows in order.
+
+    Without ``returns`` the callable runs over all groups twice: first to find
+    the kind that holds every value.
+    """
     from pyspark.sql import types as T
 
     names = [c._name for c in table._columns]
@@ -203,26 +168,37 @@ def _udaf(table, fn, keys: list[str], order: str, returns, out: str):
     df = table._frame.df.select(
         *[F.col(k) for k in keys], table._frame.rank().alias(order), *[c.value_column.alias(p) for c, p in zip(table._columns, physical, strict=True)]
     )
-    if returns is None:
-        head = [list(r) for r in df.select(*physical).limit(50).collect()]
-        sample = LocalTable(names, [LocalVector(col) for col in zip(*head)] or [LocalVector() for _ in names])
-        value = fn(sample)
-        if isinstance(value, (list, LocalVector)):
-            raise ColumnTypeError("an aggregation gives one value for each group")
-        returns = type(value) if type(value) in kinds.SPARK else float
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(out, kinds.spark_type(returns), True)])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        columns = [LocalVector(_plain(v) for v in pdf[p].tolist()) for p in physical]
-        value = fn(LocalTable(names, columns))
-        if isinstance(value, (list, LocalVector)):
+
+    def value_of(group):
+        ranks = group[order].to_pylist()
+        rows = sorted(range(group.num_rows), key=lambda i: _sortable(ranks[i]))
+        group = group.take(rows)
+        value = fn(LocalTable(names, [group[p].to_pylist() for p in physical]))
+        if isinstance(value, (list, LocalVector, LocalTable)):
             raise ColumnTypeError("an aggregation gives one value for each group")
-        row = pdf[keys].head(1).copy()
-        row[out] = [returns(value) if value is not None and returns in (int, float, str, bool) else value]
-        return row
+        return value
+
+    if returns is None:
+
+        def tell(group):
+            return pa.table({"kind": [kinds.name_of(value_of(group))]})
+
+        returns = kinds.named(r[0] for r in df.groupBy(*keys).applyInArrow(tell, "kind string").distinct().collect())
+    goal = kinds.spark_type(returns)
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(out, goal, True)])
 
-    return df.groupBy(*keys).applyInPandas(run, schema), returns
+    def run(group):
+        value = kinds.exactly(value_of(group), returns)
+        columns = [group[k].slice(0, 1) for k in keys]
+        return pa.table([*columns, pa.array([value], to_arrow_type(goal))], names=[*keys, out])
+
+    return df.groupBy(*keys).applyInArrow(run, schema), returns
+
+
+def _sortable(rank):
+    """A row's rank with its nulls where Spark sorts them: first."""
+    parts = rank.values() if isinstance(rank, dict) else [rank]
+    return [(x is not None, x if x is not None else 0) for x in parts]
 
 
 def parse_outputs(table, aggregations) -> list:
@@ -259,37 +235,61 @@ def reduce_all(frame: Frame, outputs: list[Output]) -> list:
     from colonnade.table import Table
 
     out = {}
-    native = [o for o in outputs if not o.gathered and o.reduction not in R.TWO_LEVEL]
-    for batch in ([native] if native else []) + [[o] for o in outputs if o.gathered]:
-        positional = any(o.reduction in ("first", "last") for o in batch)
+    native = [o for o in outputs if not o.gathered and not o.two_level]
+    if native:
+        positional = any(o.reduction in ("first", "last") for o in native)
         rank = frame.rank() if positional else None
-        columns = [o.column(rank)[0].alias(f"r{i}") for i, o in enumerate(batch)]
+        columns = [o.column(rank)[0].alias(f"r{i}") for i, o in enumerate(native)]
         row = (frame.df if positional else frame.bare).agg(*columns).first()
-        out |= {id(o): v for o, v in zip(batch, row, strict=True)}
+        out |= {id(o): v for o, v in zip(native, row, strict=True)}
     for o in outputs:
-        if o.reduction in R.TWO_LEVEL:
-            table = Table.of(frame, [])
-            df, name = _two_level(table, [], o)
+        if o.gathered:
+            out[id(o)] = R.gathered(frame.bare, [], o.vector.value_column, o.vector._kind, o.reduction, "r").first()["r"]
+        elif o.two_level:
+            df, name, _ = _two_level(Table.of(frame, []), [], o)
             row = df.first()
-            out[id(o)] = (row[name] if row else None) if o.reduction == "mode" else (row[name] if row else []) or []
+            value = row[name] if row else None
+            out[id(o)] = [] if value is None and o.reduction == "multimode" else value
     return [out[id(o)] for o in outputs]
 
 
 def _two_level(table, keys: list[str], out: Output):
-    """mode and multimode: counts of values, then the most frequent ones, first seen first."""
-    name, value, n, at = fresh(), fresh(), fresh(), fresh()
+    """(DataFrame by keys, column, kind) of a reduction over the counts of distinct values.
+
+    mode and multimode: the most frequent values, first seen first; quantiles:
+    the values at given places of the sorted ones.  No group is held in memory.
+    """
+    name, value, n, at, top = (fresh() for _ in range(5))
     frame = table._frame
+    c, kind = out.vector.value_column, out.vector._kind
+    if out.reduction == "quantiles":
+        pieces = R.check_pieces(**out.arguments)
+        rows = frame.bare.select(*keys, c.cast("double").alias(value)).filter(F.col(value).isNotNull())
+        counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
+        totals = counts.groupBy(*keys).agg(F.sum(n).alias(top))
+        if keys:
+            renamed = {k: fresh("g") for k in keys}
+            totals = totals.withColumnsRenamed(renamed)
+            joined = counts.join(totals, _null_safe(counts, totals, list(renamed.items()))).drop(*renamed.values())
+        else:
+            joined = counts.withColumn(top, totals.scalar())
+        upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        places = joined.withColumn(at, F.sum(n).over(upto))
+        found = R.exclusive_cuts(F.col(value), F.col(at), F.col(n), F.col(top), pieces)
+        return places.groupBy(*keys).agg(found.alias(name)), name, list
     rank = frame.rank()
-    rows = frame.df.select(*keys, out.vector.value_column.alias(value), rank.alias(at)).filter(F.col(value).isNotNull())
+    rows = frame.df.select(*keys, c.alias(value), rank.alias(at)).filter(F.col(value).isNotNull())
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n), F.min(at).alias(at))
-    best = F.struct((-F.col(n)).alias("n"), F.col(at).alias("at"))
     if out.reduction == "mode":
-        return counts.groupBy(*keys).agg(F.min_by(value, best).alias(name)), name
-    listed = F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("n"), F.col(at).alias("at"), F.col(value).alias("v"))))
-    grouped = counts.groupBy(*keys).agg(listed.alias(name))
-    top = F.col(name)[0]["n"]
-    kept = F.transform(F.filter(F.col(name), lambda x: x["n"] == top), lambda x: x["v"])
-    return grouped.select(*keys, kept.alias(name)), name
+        best = F.struct((-F.col(n)).alias("n"), F.col(at).alias("at"))
+        return counts.groupBy(*keys).agg(F.min_by(value, best).alias(name)), name, kind
+    # Only the most frequent values of a group are listed.
+    most = counts.groupBy(*keys).agg(F.max(n).alias(top))
+    renamed = {k: fresh("g") for k in keys}
+    most = most.withColumnsRenamed(renamed)
+    kept = counts.join(most, _null_safe(counts, most, list(renamed.items())) & (F.col(n) == F.col(top)), "left_semi")
+    listed = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("v"))))
+    return kept.groupBy(*keys).agg(F.transform(listed, lambda x: x["v"]).alias(name)), name, list
 
 
 def _null_safe(left, right, keys: list[tuple[str, str]]):
@@ -327,13 +327,12 @@ def aggregate(table, groupby, aggregations, returns=None):
             columns.append((name, out, kind, None, col))
             continue
         elif isinstance(what, Output):
-            if what.reduction in R.TWO_LEVEL:
-                df, out = _two_level(view, keys, what)
+            if what.two_level:
+                df, out, kind = _two_level(view, keys, what)
                 sides.append(df)
-                kind = list if what.reduction == "multimode" else what.vector._kind
             elif what.gathered:
-                col, kind = what.column(None)
-                sides.append(keyed.df.groupBy(*keys).agg(col.alias(out)))
+                kind = float if what.reduction == "fsum" else int
+                sides.append(R.gathered(keyed.df, keys, what.vector.value_column, what.vector._kind, what.reduction, out))
             else:
                 ordered |= what.reduction in ("first", "last")
                 col, kind = what.column(rank)
@@ -390,47 +389,30 @@ def window(table, groupby, aggregations, returns=None):
     check_frames(table, outputs)
     frame = table._frame
     keys = [fresh("g") for _ in key_vectors]
-    rank = frame.rank()
-    keyed = Frame(frame.df.select("*", *[v._col.alias(k) for v, k in zip(key_vectors, keys, strict=True)]), frame.order, frame.rows)
-    over = Window.partitionBy(*keys)
-    native, late, columns = [], {}, []
+    late, columns = {}, []
     for name, what in outputs:
-        out = fresh()
-        if what is len:
-            native.append(F.count(F.lit(1)).over(over).alias(out))
-            columns.append((name, F.col(out), int))
-        elif isinstance(what, Constant):
+        if isinstance(what, Constant):
             col, kind = R.constant(what.value, what.dtype)
             columns.append((name, col, kind))
-        elif isinstance(what, Output) and what.reduction in ("sum", "count", "min", "max", "mean", "first", "last"):
-            v = what.vector
-            if what.reduction == "sum":
-                number = v._col.cast("long") if v._kind is bool else v._col
-                zero = F.lit(0.0) if v._kind is float else F.lit(0)
-                col, kind = F.coalesce(F.sum(number).over(over), zero), what.column(rank)[1]
-            else:
-                col, kind = what.column(rank)
-                col = col.over(over)
-            native.append(col.alias(out))
-            columns.append((name, F.col(out), kind))
         else:
             late[name] = what
             columns.append((name, None, None))
-    df = keyed.df.select("*", *native)
+    # Aggregated once, then back by null-safe keys: small results are broadcast, and no task holds a whole group.
+    side = aggregate(table, groupby, late, returns) if late else None
+    named = [v._col.alias(k) for v, k in zip(key_vectors, keys, strict=True)]
+    df = frame.df.select("*", *named)
+    plain = None if frame.plain is None else frame.plain.select("*", *named)
     if late:
-        # Composed reductions: aggregate once, then back by null-safe keys.
-        side = aggregate(table, groupby, late, returns)
         renamed = [fresh("g") for _ in keys]
         values = {c._name: (fresh(), c) for c in side._columns[len(keys):]}
-        sdf = side._frame.df.select(
+        sdf = side._frame.bare.select(
             *[c._col.alias(r) for c, r in zip(side._columns, renamed, strict=False)], *[c._col.alias(n) for n, c in values.values()]
         )
-        df = df.join(sdf, _null_safe(df, sdf, list(zip(keys, renamed, strict=True))), "left")
+        match = list(zip(keys, renamed, strict=True))
+        df = df.join(sdf, _null_safe(df, sdf, match), "left")
+        plain = None if plain is None else plain.join(sdf, _null_safe(plain, sdf, match), "left")
         columns = [(n, F.col(values[n][0]), values[n][1]._kind) if c is None else (n, c, k) for n, c, k in columns]
-    result = Frame(df, list(frame.order), frame.rows)
-    positional = any(isinstance(w, Output) and w.reduction in ("first", "last") for _, w in outputs)
-    if frame.plain is not None and not late and not positional:
-        result.plain = frame.plain.select("*", *[v._col.alias(k) for v, k in zip(key_vectors, keys, strict=True)]).select("*", *native)
+    result = Frame(df, list(frame.order), frame.rows, plain=plain)
     made = [
         Vector.of(result, F.col(k), v._kind, v._nullable, v._name, v._categories, True) for v, k in zip(key_vectors, keys, strict=True)
     ]

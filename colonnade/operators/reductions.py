@@ -103,39 +103,44 @@ def _harmonic(c, kind, rank, weights=None):
     return fail_if(F.bool_or(c < 0), "harmonic mean of negative values", value), float
 
 
-def _sorted_list(c):
-    return F.array_sort(F.collect_list(c))
-
-
 def _median_side(high):
     def build(c, kind, rank):
-        if not high:
-            return F.call_function("percentile_approx", c, L(0.5), L(2147483647)), kind
-        values = _sorted_list(c)
-        return F.when(F.count(c) > 0, F.get(values, F.floor(F.size(values) / 2).cast("int"))), kind
+        # Of an even number of values this is the lower middle one; of the negated ones, the upper.
+        low = lambda x: F.call_function("percentile_approx", x, L(0.5), L(2147483647))
+        return (-low(-c) if high else low(c)), kind
 
     return build
 
 
-def _quantiles(c, kind, rank, n=4, method="exclusive"):
-    if n < 1:
+def check_pieces(n=4, method="exclusive"):
+    if isinstance(n, bool) or not isinstance(n, int) or n < 1:
         raise ColumnValueError("n must be at least 1")
-    if method == "inclusive":
-        out = F.percentile(_d(c), F.array(*[L(i / n) for i in range(1, n)])) if n > 1 else F.array().cast("array<double>")
-    elif method == "exclusive":
-        values = _sorted_list(_d(c))
-        m = F.size(values) + 1
-        cuts = []
-        for i in range(1, n):
-            j = F.least(F.greatest(F.floor(i * m / n).cast("int"), L(1)), F.size(values) - 1)
-            delta = i * m - j * n
-            cuts.append((F.get(values, j - 1) * (n - delta) + F.get(values, j) * delta) / n)
-        out = F.array(*cuts)
-    else:
+    if method not in ("inclusive", "exclusive"):
         raise ColumnValueError(f"unknown method: {method!r}")
+    return n
+
+
+def _quantiles(c, kind, rank, n=4, method="inclusive"):
+    """Inclusive quantiles; exclusive ones are made of counts, see ``exclusive_cuts``."""
+    n = check_pieces(n, method)
+    out = F.percentile(_d(c), F.array(*[L(i / n) for i in range(1, n)])) if n > 1 else F.array().cast("array<double>")
     return F.when(F.count(c) >= 2, out), list
 
 
+def exclusive_cuts(value, upto, count, total, n):
+    """Array of the n - 1 cuts, over rows of distinct values: up to which place each stands, its count, and the total."""
+
+    def at(place):
+        return F.max(F.when((upto >= place) & (upto - count < place), value))
+
+    cuts = []
+    for i in range(1, n):
+        j = F.least(F.greatest(F.floor(i * (total + 1) / n), L(1)), total - 1)
+        delta = F.max(i * (total + 1) - j * n)
+        cuts.append((at(j) * (n - delta) + at(j + 1) * delta) / n)
+    return F.when(F.max(total) >= 2, F.array(*cuts) if cuts else F.array().cast("array<double>"))
+
+
 def _spread(root, population):
     def build(c, kind, rank, mu=None, xbar=None):
         center = mu if population else xbar
@@ -205,42 +210,117 @@ STATS = {
 }
 
 
-def _gathered(f, returns):
-    """A reduction that Python does on all values of a group, as a grouped aggregate UDF."""
+#: Parts of a group in a reduction that Python makes.
+PARTS = 64
+
+
+def _exact_parts(values):
+    """Doubles whose exact sum is that of ``values``, few of them."""
+    parts = []
+    for x in values:
+        if not math.isfinite(x):
+            parts.append(x)
+            continue
+        kept = 0
+        for k in range(len(parts)):
+            y = parts[k]
+            if not math.isfinite(y):
+                parts[kept] = y
+                kept += 1
+                continue
+            if abs(x) < abs(y):
+                x, y = y, x
+            total = x + y
+            rest = y - (total - x)
+            if rest:
+                parts[kept] = rest
+                kept += 1
+            x = total
+        parts[kept:] = [x]
+    # Infinities and NaN stand once each.
+    odd = list({repr(p): p for p in parts if not math.isfinite(p)}.values())
+    return [p for p in parts if math.isfinite(p)] + odd
 
-    def build(c, kind, rank):
-        goal = "double" if returns is float or kind is float and returns is None else "long"
-
-        def floats(values: pd.Series, present: pd.Series) -> float:
-            return f(values[present].tolist(), kind)
 
-        def ints(values: pd.Series, present: pd.Series) -> int:
-            return f(values[present].tolist(), kind)
+def _bounded(value):
+    if abs(value) >= 1 << 63:
+        raise OverflowError("past 64 bits")
+    return value
 
-        # NaN is a value, and pandas shows null as NaN: the flag tells them apart.
-        udf = F.pandas_udf(floats if goal == "double" else ints, goal)
-        return udf(c, c.isNotNull()), (float if goal == "double" else int)
 
-    return build
+def _product_part(values):
+    """The product as text; ``big`` past 64 bits, which only a zero elsewhere can mend."""
+    out = 0 if 0 in values else 1
+    for v in values:
+        if abs(out) >= 1 << 63:
+            return "big"
+        out *= v
+    return "big" if abs(out) >= 1 << 63 else str(out)
 
 
-def _bounded(value):
-    if abs(value) >= 1 << 63:
+def _product_whole(parts):
+    if "0" in parts:
+        return 0
+    if "big" in parts:
         raise OverflowError("past 64 bits")
-    return value
+    return _bounded(fold(lambda a, b: a * int(b), parts, 1))
+
+
+def _lcm_part(values):
+    return str(math.lcm(*values))
+
+
+#: Type of a part's result, how it is made, the type of the whole, and how that is made of the parts.
+_GATHERED = {
+    "fsum": ("array<double>", _exact_parts, "double", lambda parts: math.fsum(x for p in parts for x in p)),
+    "prod": ("string", _product_part, "long", _product_whole),
+    "gcd": ("long", lambda xs: math.gcd(*xs), "long", lambda parts: math.gcd(*parts)),
+    "lcm": ("string", _lcm_part, "long", lambda parts: _bounded(math.lcm(*map(int, parts)))),
+}
+
+
+def gathered(df, keys: list[str], c: Column, kind, name: str, out: str):
+    """DataFrame (keys, out): each group is dealt into PARTS parts; the parts' results give the whole."""
+    part_type, part, whole_type, whole = _GATHERED[name]
+    convert = float if name == "fsum" else int
+
+    def first(values: pd.Series):
+        return part([convert(v) for v in values])
+
+    def second(values: pd.Series):
+        return whole(values.tolist())
+
+    first.__annotations__ = {"values": pd.Series, "return": list if part_type.startswith("array") else str if part_type == "string" else int}
+    second.__annotations__ = {"values": pd.Series, "return": convert}
+    value, lot, made = "_value", "_lot", "_made"
+    rows = df.select(*keys, c.alias(value))
+    # Nulls are no values; a group of nothing else still has its row.
+    groups = rows.select(*keys).distinct() if keys else None
+    rows = rows.filter(F.col(value).isNotNull()).withColumn(lot, (F.monotonically_increasing_id() % PARTS).cast("int"))
+    parts = rows.groupBy(*keys, lot).agg(F.pandas_udf(first, part_type)(value).alias(made))
+    found = parts.groupBy(*keys).agg(F.pandas_udf(second, whole_type)(made).alias(out))
+    nothing = L({"fsum": 0.0, "prod": 1, "gcd": 0, "lcm": 1}[name])
+    if groups is None:
+        return found.agg(F.coalesce(F.max(out), nothing).alias(out))
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    side = found.withColumnsRenamed(names)
+    match = fold(lambda a, b: a & b, [groups[k].eqNullSafe(side[v]) for k, v in names.items()])
+    return groups.join(side, match, "left").select(*keys, F.coalesce(out, nothing).alias(out))
 
 
 def _prod(c, kind, rank):
-    if kind is float:
-        return F.coalesce(F.product(c), L(1.0)), float
-    return _gathered(lambda xs, k: _bounded(fold(lambda a, b: a * int(b), xs, 1)), int)(c, kind, rank)
+    return F.coalesce(F.product(c), L(1.0)), float
+
+
+def _only_gathered(c, kind, rank):
+    raise ColumnTypeError("not among built-in aggregates")
 
 
 MATH = {
-    "fsum": _gathered(lambda xs, k: math.fsum(xs), float),
+    "fsum": _only_gathered,
     "prod": _prod,
-    "gcd": _gathered(lambda xs, k: math.gcd(*map(int, xs)), int),
-    "lcm": _gathered(lambda xs, k: _bounded(math.lcm(*map(int, xs))), int),
+    "gcd": _only_gathered,
+    "lcm": _only_gathered,
     "hypot": lambda c, kind, rank: (F.sqrt(F.coalesce(F.sum(_d(c) * _d(c)), L(0.0))), float),
     "dist": lambda c, kind, rank, other=None: (
         F.sqrt(F.coalesce(F.sum((_d(c) - _d(other)) * (_d(c) - _d(other))), L(0.0))), float

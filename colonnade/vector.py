@@ -304,7 +304,7 @@ class Vector:
         return out
 
     def cast(self, goal, returns=None) -> Vector:
-        """To a kind by Python's rules, or through any callable (``returns``: its kind, else found on a few values)."""
+        """To a kind by Python's rules, or through any callable (``returns``: its kind, else found on all values)."""
         if not isinstance(goal, type):
             return self._through(goal, returns)
         c, kind = self.value_column, self._kind
@@ -323,7 +323,9 @@ class Vector:
         elif goal is bool:
             out = R.truth(c, kind)
         elif goal in (int, float):
-            out = (F.trim(text) if kind is str else c).cast(kinds.spark_type(goal))
+            # Python allows single underscores between digits.
+            digits = F.regexp_replace(F.trim(text), "(?<=[0-9])_(?=[0-9])", "") if kind is str else c
+            out = digits.cast(kinds.spark_type(goal))
         elif goal in (dt.date, dt.datetime):
             out = c.cast(kinds.spark_type(goal))
         elif goal is object:
@@ -333,15 +335,29 @@ class Vector:
         return self._with(out, goal, self._nullable, self._name)
 
     def _through(self, fn, returns) -> Vector:
-        if returns is None:
-            sample = [r[0] for r in self._frame.df.select(self.value_column).filter(self.value_column.isNotNull()).limit(20).collect()]
-            returns = kinds.infer([fn(v) for v in sample])[0]
+        """Any callable, value by value; without ``returns`` a first pass over all values finds the kind."""
+        kind, goal = self._kind, returns
 
-        def run(values: pd.Series) -> pd.Series:
-            return pd.Series([None if v is None or v is pd.NaT else fn(v) for v in values], dtype=object)
+        def applied(v):
+            if v is None or v is pd.NaT or kind is not float and isinstance(v, float) and v != v:
+                return None
+            # pandas shows ints beside nulls as floats.
+            return fn(int(v) if kind is int else v)
 
-        udf = F.pandas_udf(run, kinds.spark_type(returns))
-        return self._with(udf(self.value_column), returns, self._nullable, self._name)
+        if goal is None:
+
+            def tell(values: pd.Series, present: pd.Series) -> pd.Series:
+                return pd.Series([kinds.name_of(applied(v)) if p else "" for v, p in zip(values, present)], dtype=object)
+
+            c = self.value_column
+            told = F.pandas_udf(tell, "string")(c, c.isNotNull())
+            goal = kinds.named(r[0] for r in self._frame.bare.select(told).distinct().collect())
+
+        def run(values: pd.Series, present: pd.Series) -> pd.Series:
+            return pd.Series([kinds.exactly(applied(v), goal) if p else None for v, p in zip(values, present)], dtype=object)
+
+        udf = F.pandas_udf(run, kinds.spark_type(goal))
+        return self._with(udf(self.value_column, self.value_column.isNotNull()), goal, self._nullable, self._name)
 
     def to_object(self) -> Vector:
         return self._with(self.value_column, object, self._nullable, self._name)
@@ -571,8 +587,9 @@ class Math:
 
 def _reducer(name, positional):
     def method(self, *args, **kwargs):
-        if args:
-            kwargs |= dict(zip(positional, args, strict=False))
+        if len(args) > len(positional):
+            raise TypeError(f"{name}() takes {len(positional)} positional arguments, {len(args)} given")
+        kwargs |= dict(zip(positional, args, strict=False))
         return self.vector._reduce(name, self.registry, **kwargs)
 
     method.__name__ = name
