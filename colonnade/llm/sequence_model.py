@@ -142,6 +142,37 @@ class BiLstmCrf:
                 self.p[k] -= pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return losses
 
+    def best_paths(self, scores: list[np.ndarray], at_once: int = 1 << 20) -> list[np.ndarray]:
+        """The best tag sequence of each (characters, tags) array of scores, whatever their lengths."""
+        trans = self.p["T"] + self.barred
+        out: list = [None] * len(scores)
+        order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
+        while order:
+            # As many as fit, the longest first.
+            long = max(1, len(scores[order[0]]))
+            group, order = order[: max(1, at_once // long)], order[max(1, at_once // long) :]
+            size = np.array([len(scores[k]) for k in group])
+            u = np.zeros((long, len(group), trans.shape[0]), np.float32)
+            for j, k in enumerate(group):
+                u[: size[j], j] = scores[k]
+            back = np.zeros(u.shape, np.int8)
+            best = u[0].copy()
+            for t in range(1, long):
+                n = int(np.searchsorted(-size, -t, "left"))  # those that go on
+                a = best[:n, :, None] + trans
+                back[t, :n] = a.argmax(1)
+                best[:n] = np.take_along_axis(a, back[t, :n, None].astype(np.int64), 1)[:, 0] + u[t, :n]
+            tag = best.argmax(1)
+            path = np.zeros((long, len(group)), np.int8)
+            for t in range(long - 1, -1, -1):
+                n = int(np.searchsorted(-size, -t, "left"))
+                path[t, :n] = tag[:n]
+                if t:
+                    tag[:n] = back[t, np.arange(n), tag[:n]]
+            for j, k in enumerate(group):
+                out[k] = path[: size[j], j]
+        return out
+
     def decode(self, s: np.ndarray) -> np.ndarray:
         """Best tag sequences (batch, time) by Viterbi."""
         u = self.unary(s)

@@ -272,6 +272,31 @@ def test_chunks_follow_content():
 
 # 4 personal data
 
+#: The stated patterns, as they stand.
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            if kind == "ip" and max((len(p.lstrip("0")), p.lstrip("0")) for p in m[0].split(".")) > (3, "255"):
+                continue
+            if kind == "card":
+                double = [sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))]
+                if not 13 <= len(digits) <= 19 or sum(double) % 10:
+                    continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((k, m.start(), m.end()))
+    return out
+
 
 def test_personal_data(spark, docs, rows, none, wide):
     from colonnade.llm import pii
@@ -287,7 +312,7 @@ def test_personal_data(spark, docs, rows, none, wide):
     assert got[1].n_card == 1 and got[2].n_phone == 1 and got[3].spans == "" and got[4].spans == ""
     assert "email:51:57" in got[5].spans
     for i, t in enumerate(texts):
-        base = pii.base_spans(t or "")
+        base = plain_spans(t or "")
         assert got[i].base_sha256 == hashlib.sha256(pii._shown(base).encode()).hexdigest()
         assert {pii._shown([s]) for s in base} <= set(got[i].spans.split(",")) or not base
     assert pii.find_personal_data(none).count() == 0
@@ -311,21 +336,90 @@ def test_sequence_model_gradients_and_accuracy():
         down = m.loss_and_gradients(s, y)[0]
         m.p[k][at] = old
         assert g[at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
-    s, y = pii._sample_windows(300, seed=99)
-    assert (pii.trained_model().decode(s) == y).mean() > 0.93
 
 
-def test_windows_are_reconciled():
+def tagged(text):
+    """(kind, start, end) that the model gives over the whole text."""
     from colonnade.llm import pii
 
-    text = "x " * 40 + "mail bob@example.com " * 9 + "y " * 40
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    parts = pii.stretches(code)
-    assert len(parts) == 1
-    a, b = parts[0]
-    tags = pii.tag_stretches(pii.trained_model(), [pii.symbols(code[a:b])])[0]
-    spans = [text[x + a : y + a] for k, x, y in pii.spans_of(tags)]
+    parts = pii.stretches(text, code)
+    tags = pii.tag_stretches(pii.trained_model(), [pii.symbols(code[a:b]) for a, b in parts])
+    return {(k, x + a, y + a) for (a, _), t in zip(parts, tags, strict=True) for k, x, y in pii.spans_of(t)}
+
+
+def test_held_out_spans():
+    from colonnade.llm import pii
+
+    rng = np.random.default_rng(990)
+    both = found = labelled = 0
+    for _ in range(40):
+        text, tags = pii.sample_text(rng, 1500)
+        want, got = set(pii.spans_of(np.array(tags, np.int8))), tagged(text)
+        both, found, labelled = both + len(want & got), found + len(got), labelled + len(want)
+    assert 2 * both / (found + labelled) > 0.9
+
+
+def test_base_patterns_are_the_stated_ones_and_linear():
+    import time
+
+    from colonnade.llm import pii
+
+    rng = random.Random(12)
+    bits = ["a", "b.c", "@", ".", "-", "1", "22", "4111 1111 1111 1111", "+1", " ", "(2) ", "300", "é", "\n", "x@y.zz", "10.0.0.1", "9" * 15]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 25)))
+        assert pii.base_spans(text) == plain_spans(text), text
+    n = 1_000_000
+    for text in ("1" * n, "a" * n, "1." * (n // 2), "a@" * (n // 2), "1 " * (n // 2), "+1" + " " * n, "+1" * (n // 2), "a." * (n // 2) + "@"):
+        began = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - began < 20, text[:4]
+
+
+def test_stretches_hold_every_span():
+    from colonnade.llm import pii
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        text, tags = pii.sample_text(rng, 800)
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        parts = pii.stretches(text, code)
+        assert parts == sorted(parts) and all(b <= c for (_, b), (c, _) in zip(parts, parts[1:]))
+        for k, lo, hi in pii.spans_of(np.array(tags, np.int8)):
+            assert any(a <= lo and hi <= b for a, b in parts), (k, text[lo:hi])
+
+
+def test_best_path_over_whole_stretches():
+    from itertools import product
+
+    from colonnade.llm.sequence_model import BiLstmCrf
+
+    rng = np.random.default_rng(3)
+    allowed = np.ones((3, 3), bool)
+    allowed[0, 2] = False
+    m = BiLstmCrf(4, 3, allowed, embed=3, hidden=2)
+    scores = [rng.normal(size=(n, 3)).astype(np.float32) for n in (1, 4, 6, 2, 6)]
+    trans = m.p["T"] + m.barred
+    for at_once in (1, 8, 1 << 20):
+        for u, got in zip(scores, m.best_paths(scores, at_once), strict=True):
+            value = lambda y: sum(u[t, y[t]] for t in range(len(y))) + sum(trans[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+            assert value(got) == pytest.approx(max(value(y) for y in product(range(3), repeat=len(u))), abs=1e-4)
+
+
+def test_windows_are_reconciled(spark):
+    from colonnade.llm import pii
+
+    text = "x " * 40 + "mail bob@example.com " * 9 + "y " * 40
+    spans = [text[x:y] for _, x, y in tagged(text)]
     assert spans.count("bob@example.com") >= 8
+    # One stretch of 200,000 characters, and forms that only the model finds.
+    long = "call (499) 555-6503 or " * 9000
+    cases = ["write to jane [at] example [dot] com please", "an office line (499) 555-6503 today", "jörg.müller@exämple.de wrote", long]
+    table = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_personal_data(table).collect()}
+    assert got[0].spans == "email:9:36" and got[1].spans == "phone:15:29" and got[2].n_email == 0
+    assert [got[i].n_phone for i in range(4)] == [0] * 4 and got[3].n_added > 8500
 
 
 # 5 near duplicates
