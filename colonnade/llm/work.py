@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_name(text: Column) -> dict[str, Column]:
+    """128 bits that name a text, as two hashes of different seeds: Spark seeds each column's hash with the one before."""
+    return {"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit("second"), text)}
+
+
 def release_memory() -> None:
     """Give memory that a Python worker no longer uses back to the system."""
     pa.default_memory_pool().release_unused()
