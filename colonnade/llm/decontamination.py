@@ -85,8 +85,11 @@ class Seeds:
         return seen
 
     def hits(self, words: Words) -> Iterator[tuple[int, int, int]]:
-        """Distinct (text, item, word of the text under the item's word 0), with enough equal words in all."""
-        found = []
+        """(text, item, word of the text under the item's word 0), with enough equal words in all.
+
+        A run that stands everywhere is verified a part at a time, so a hit may come more than once.
+        """
+        found, size = [], 0
         sides = [(*spaced(words, m), h, item, at, seen) for m, h, item, at, seen in self.masks]
         h, item, at, seen = self.short
         if len(h):
@@ -100,9 +103,20 @@ class Seeds:
             some, lo, count = some[count > 0], lo[count > 0], count[count > 0]
             if not len(some):
                 continue
-            each = np.repeat(np.arange(len(some)), count)
-            k = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-            found.append(np.stack([words.text[first[some]][each], item[k], first[some][each] - at[k]], 1))
+            begin = 0
+            while begin < len(some):
+                # Runs of the text with at most COMPARED_WORDS places in the items, one at least.
+                total = np.cumsum(count[begin:])
+                end = begin + max(1, int(np.searchsorted(total, COMPARED_WORDS - size, "right")))
+                own, runs_at = count[begin:end], first[some[begin:end]]
+                each = np.repeat(np.arange(len(own)), own)
+                k = lo[begin:end][each] + np.arange(len(each)) - np.repeat(np.cumsum(own) - own, own)
+                found.append(np.stack([words.text[runs_at][each], item[k], runs_at[each] - at[k]], 1))
+                size += len(each)
+                begin = end
+                if size >= COMPARED_WORDS:
+                    yield from self._likely(words, np.unique(np.concatenate(found), axis=0))
+                    found, size = [], 0
         if found:
             yield from self._likely(words, np.unique(np.concatenate(found), axis=0))
 
@@ -214,7 +228,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Da
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents with a leak: ``key``, n_items, items (ids, comma-joined), most_equal."""
+    """Documents with a leak: ``key``, n_items, items (ids, comma-joined), most_equal.
+
+    One row for each ``key``: rows that repeat one count together, and so do
+    those whose ``key`` is null.  Null and empty texts and items are never found;
+    an empty table on either side gives an empty result.
+    """
     return (
         find_leaks(docs, benchmark, key)
         .groupBy(key)
@@ -229,7 +248,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark item is found; no shuffle."""
+    """The rows of ``docs``, all columns, in which no benchmark item is found; no shuffle.
+
+    Null and empty texts stay; repeated rows are judged each, whatever their id;
+    an empty benchmark keeps all; an empty table gives an empty result.
+    """
     at = docs.columns.index("text")
     for items in _item_blocks(benchmark):
 
