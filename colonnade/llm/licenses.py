@@ -4,9 +4,10 @@ A line *contains* a notice if it holds at least THRESHOLD of the notice's
 distinct words.  The words of the notices are ordered by their frequency in the
 whole corpus, rarest first.  A line that contains a notice of n words holds
 c = ceil(THRESHOLD * n) of them, hence one of the first n - c + 1 (prefix
-filter); it has at least c distinct words (length filter); and its first match,
-at position p, leaves n - p >= c words (positional filter).  Only lines that
-pass are compared, and none that contain a notice fails.
+filter); it has at least c distinct words (length filter); and of the line's
+words in that order, those from its first match in the prefix on are at least c,
+as words before the first match are none of the notice (positional filter).
+Only lines that pass are compared, and none that contain a notice fails.
 
 A wrapped notice stands in no single line.  Hence every run of words of about
 the notice's length, across line breaks, is compared in the same way.
@@ -15,6 +16,7 @@ the notice's length, across line breaks, is compared in the same way.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from itertools import chain
 
 import numpy as np
@@ -48,6 +50,62 @@ NOTICES = {
     "isc_notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
 
+#: Whole texts of short licenses and headers, found like the sentences above, over line breaks.
+TEXTS = {
+    "mit_text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE."
+    ),
+    "isc_text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
+        "IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+        "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "bsd_text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR "
+        "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+        "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "apache_header": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with "
+        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required "
+        "by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS "
+        "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
+        "language governing permissions and limitations under the License."
+    ),
+    "gpl_header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
+        "License for more details. You should have received a copy of the GNU General Public License along with this "
+        "program. If not, see"
+    ),
+}
+NOTICES |= TEXTS
+
 
 def _words_of(text: str) -> Words:
     data = np.frombuffer(text.encode(), np.uint8)
@@ -66,12 +124,15 @@ class Join:
             need = math.ceil(threshold * len(words) - 1e-9)
             k = len(self.notices)
             self.notices.append((label, set(words), need))
-            for place, word in enumerate(words[: len(words) - need + 1]):
-                self.by_word.setdefault(word, []).append((k, place))
+            for word in words[: len(words) - need + 1]:
+                self.by_word.setdefault(word, []).append(k)
         self.prefix = np.array(sorted(self.by_word), np.uint64)
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.prefix >> np.uint64(48)).astype(np.int64)] = True
         self.runs_of = [math.ceil(SPREAD * len(_words_of(text).hash)) for _, text in sorted(notices.items())]
+        every = {w for _, notice, _ in self.notices for w in notice}
+        #: Place of each word of any notice in the order of frequency.
+        self.place = {w: p for p, w in enumerate(sorted(every, key=lambda w: (frequency.get(w, 0), w)))}
         self.words = np.array(sorted({w for _, notice, _ in self.notices for w in notice}), np.uint64)
         self.member = np.array([[w in notice for w in self.words.tolist()] for _, notice, _ in self.notices], bool)
         self.known = np.zeros(1 << 16, bool)
@@ -119,18 +180,26 @@ class Join:
         for number in np.unique(line[some]).tolist():
             lo, hi = np.searchsorted(line, [number, number + 1])
             held = set(words.hash[lo:hi].tolist())
-            first: dict[int, int] = {}
-            for word in held & self.by_word.keys():
-                for k, p in self.by_word[word]:
-                    first[k] = min(p, first.get(k, p))
-            for k, p in first.items():
+            for k in self.candidates(held):
                 label, notice, need = self.notices[k]
-                if len(held) < need or len(notice) - p < need:
-                    continue
                 both = len(held & notice)
                 if both >= need:
                     yield int(words.text[lo]), label, both / len(notice)
 
+    def candidates(self, held: set[int]) -> list[int]:
+        """Notices that pass the prefix, length and positional filters for a line of these words."""
+        first: dict[int, int] = {}
+        for word in held & self.by_word.keys():
+            for k in self.by_word[word]:
+                first[k] = min(self.place[word], first.get(k, len(self.place)))
+        places = sorted(self.place[w] for w in held & self.place.keys())
+        out = []
+        for k, p in first.items():
+            need = self.notices[k][2]
+            if len(held) >= need and len(places) - bisect_left(places, p) >= need:
+                out.append(k)
+        return out
+
 
 def word_frequency(docs: DataFrame, words: list[int]) -> dict[int, int]:
     """Occurrences of the given word hashes in all texts."""
