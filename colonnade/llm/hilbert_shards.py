@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.llm.ranks import running_sum
-from colonnade.llm.work import cut
+from colonnade.llm.work import cut, text_name
 
 #: Bits of each dimension of the grid.
 BITS = 4
@@ -92,32 +92,36 @@ def hilbert_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.xxhash64(text).alias("_text"),
+        *[c.alias(n) for n, c in text_name(text).items()],
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
     )
     meta = cut(narrow, "shard-metadata")  # the texts are read once
-    first = meta.groupBy("_text").agg(F.min(F.struct("doc_id", "lang", "source")).alias("_first"))
+    first = meta.groupBy("_a", "_b").agg(F.min(F.struct("doc_id", "lang", "source")).alias("_first"))
     side = 1 << BITS
-
-    def coarse(name: str):
-        known = F.pmod(F.crc32(F.col(f"_first.{name}")), F.lit(side - 1)) + 1
-        return F.when(F.col(f"_first.{name}").isNull(), F.lit(0)).otherwise(known).cast("int")
+    # Values in their order, null first; where there are more than the side has places, neighbours share one.
+    for name in ("lang", "source"):
+        known = meta.select(F.col(name).alias("_v")).distinct()
+        rank = F.row_number().over(Window.orderBy(F.col("_v").asc_nulls_first())) - 1
+        number = F.count(F.lit(1)).over(Window.partitionBy())
+        place = F.when(F.col("_n") <= side, F.col("_r")).otherwise(F.expr(f"_r * {side} div _n")).cast("int").alias(f"_{name}")
+        known = known.withColumns({"_r": rank, "_n": number}).select("_v", place)
+        first = first.join(known, F.col(f"_first.{name}").eqNullSafe(F.col("_v")), "left").drop("_v")
 
     scale = F.least(F.floor(F.log2("size")), F.lit(side - 1)).cast("int")
     table = F.from_json(F.lit(str(list(curve_table(3, BITS)))), "array<int>")
-    cell = (coarse("lang") * side + coarse("source")) * side + scale
-    placed = meta.join(first, "_text").select(
-        "doc_id", "size", "text_crc32", "lang", "source", "_text",
+    cell = (F.col("_lang") * side + F.col("_source")) * side + scale
+    placed = meta.join(first, ["_a", "_b"]).select(
+        "doc_id", "size", "text_crc32", "lang", "source", "_a", "_b",
         F.get(table, cell).alias("curve_index"),
         F.lit(1).cast("long").alias("_one"),
         (
-            F.pmod(F.col("_text"), F.lit(TEXT_PARTS)) * DOC_PARTS
+            F.pmod(F.col("_a"), F.lit(TEXT_PARTS)) * DOC_PARTS
             + F.pmod(F.xxhash64("doc_id"), F.lit(DOC_PARTS))
         ).alias("_part"),
     )
     ranked = running_sum(
-        placed, [], ["curve_index", "_part"], ["_text", "doc_id"], "_one", "_rank"
+        placed, [], ["curve_index", "_part"], ["_a", "_b", "doc_id"], "_one", "_rank"
     )
     total = meta.agg(F.count(F.lit(1)).alias("_rows"))
     # Shard s holds the ranks from floor(s * n / shards) on.
