@@ -23,8 +23,8 @@ WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 #: Words of a block at most; small mixes use shorter blocks, for SLOTS_EACH slots a source.
 BLOCK_WORDS, SLOTS_EACH = 4096, 1024
-#: Conjugate of the golden ratio, sqrt(5)/2 - 1/2.
-GOLDEN = (5**0.5 - 1) / 2
+#: The golden ratio's conjugate, sqrt(5)/2 - 1/2, in units of 2**-64: points are whole numbers, exact for any slot.
+GOLDEN, UNIT = 11400714819323198485, 1 << 64
 #: Cells of a running sum, and cells of [0, 1) in the join of points and shares.
 CELLS, SHARE_CELLS = 1024, 1024
 
@@ -63,7 +63,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def schedule(targets: DataFrame, block: int) -> DataFrame:
-    """Slots (source_rank, block): the k-th slot of each source, k from 0.
+    """Slots (source_rank, block, slot): ``block`` counts each source's slots from 0, ``slot`` those of all.
 
     ``targets`` has source_rank and target.  Every source has the slots that its
     target needs, and most a few more; the last ones of a source stay unused.
@@ -89,9 +89,8 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     last_cell = SHARE_CELLS - 1
     cell = lambda c: F.least(F.floor(F.col(c) * SHARE_CELLS), F.lit(last_cell)).cast("int")
     shares = shares.withColumn("_cell", F.explode(F.sequence(cell("_from"), cell("_to"))))
-    points = spark.range(slots).select(
-        "id", F.pmod(F.col("id") * F.lit(GOLDEN) + 0.5, F.lit(1.0)).alias("_at")
-    )
+    turned = f"(cast(id as decimal(17,0)) * {GOLDEN}BD + {UNIT // 2}BD) % {UNIT}BD"
+    points = spark.range(slots).select("id", (F.expr(turned).cast("double") / float(UNIT)).alias("_at"))
     points = points.withColumn("_cell", cell("_at"))
     taken = points.join(shares, "_cell").filter("_at >= _from and _at < _to")
     taken = taken.select(
@@ -99,20 +98,24 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
         F.expr(f"id * {CELLS} div {max(slots, 1)}").alias("_part"),
     )
     dealt = running_sum(taken, ["source_rank"], ["_part"], ["id"], "_one", "block").select(
-        "source_rank", "block"
+        "source_rank", "block", F.col("id").alias("slot")
     )
     held = taken.groupBy("source_rank").agg(F.count(F.lit(1)).alias("_have"))
     short = targets.join(held, "source_rank", "left")
     have = F.coalesce("_have", F.lit(0)).cast("long")
     need = F.expr(f"(cast(floor(target) as long) + {block - 1}) div {block}")
     missing = short.filter(have < need).select("source_rank", F.explode(F.sequence(have, need - 1)).alias("block"))
-    return dealt.union(missing)
+    # Behind all points, source by source in turn.
+    behind = F.lit(slots) + F.col("block") * sums[1] + F.col("source_rank") - 1
+    return dealt.union(missing.select("*", behind.cast("long").alias("slot")))
 
 
 def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     """How many words the mix takes of every document.
 
-    Returns a row for each row: doc_id, size, source_size, target, taken, source, text_hash.
+    Returns a row for each row: doc_id, size, source_size, target, taken, source,
+    first_slot (the first slot of the schedule that takes words of it, null if
+    none does), n_slots (how many do), text_hash.
     Null texts have size 0 and are taken 0 times; null sources are a source;
     sources without words have target 0; repeated rows are documents of their
     own; an empty table gives an empty result.  Other columns are ignored.
@@ -158,14 +161,14 @@ def mix_sources(docs: DataFrame, seed: int = 0) -> DataFrame:
     overlap = F.least("_to", (F.col("block") + 1) * block) - F.greatest(
         F.col("_from"), F.col("block") * block
     )
-    used = pieces.join(slots.withColumn("_used", F.lit(True)), ["source_rank", "block"], "left")
+    used = pieces.join(slots, ["source_rank", "block"], "left")
     keys = ["_row", "doc_id", "size", "source_size", "target", "_null", "_key", "text_hash"]
-    taken = F.coalesce(F.sum(F.when(F.col("_used"), overlap)), F.lit(0)).alias("taken")
+    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), overlap)), F.lit(0)).alias("taken")
     return (
         used.groupBy(*keys)
-        .agg(taken)
+        .agg(taken, F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"))
         .select(
             "doc_id", "size", "source_size", "target", "taken",
-            F.when(~F.col("_null"), F.col("_key")).alias("source"), "text_hash",
+            F.when(~F.col("_null"), F.col("_key")).alias("source"), "first_slot", "n_slots", "text_hash",
         )
     )
