@@ -24,6 +24,60 @@ def collect(df):
 # 1 fingerprints
 
 
+def plain_print(text):
+    """Sums by paragraph, in plain Python: (16 lanes of the paragraph's digest, signed counts of its runs of words)."""
+    from colonnade.llm.text import mix, powers, word_hash
+
+    exact, like = [0] * 16, [0] * 256
+    for line in text.split("\n"):
+        if line and not line.encode().isspace():
+            digest = hashlib.shake_128(line.encode()).digest(64)
+            exact = [(a + int.from_bytes(digest[4 * k : 4 * k + 4], "little")) % 2**32 for k, a in enumerate(exact)]
+        w = [int(HASHES.setdefault(x, word_hash(x))) for x in words(line)]
+        base = [int(x) for x in powers(8)]
+        runs = [sum(w[i + j] * base[j + 1] for j in range(3)) for i in range(len(w) - 2)]
+        if 0 < len(w) < 3:
+            runs = [sum(x * base[j + 1] for j, x in enumerate(w)) + len(w)]
+        for run in runs:
+            h = int(mix(mix(np.array([run % 2**64], np.uint64)) ^ np.uint64(0xA0761D6478BD642F))[0])
+            like[(h >> 1) & 255] += 1 - 2 * (h & 1)
+    return exact, like
+
+
+HASHES: dict = {}
+
+
+def print_text(one):
+    import base64
+
+    return base64.b64encode(b"".join((x % 2**32).to_bytes(4, "little") for x in one[0] + one[1])).decode()
+
+
+def plain_likeness(x, y):
+    if x == y:
+        return 1.0
+    both = sum(a * b for a, b in zip(x[1], y[1]))
+    most = sum(a * a for a in x[1]) + sum(b * b for b in y[1]) - both
+    return min(1.0, max(0.0, both / most)) if most > 0 else 0.0
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    from colonnade.llm import fingerprints as fp
+
+    rows = [(7, f"text {k % 50}") for k in range(400)] + [(None, "no id"), (None, None), (3, "three"), (9, "nine")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fp.fingerprint_documents(table, parts=6).collect()
+    assert Counter(r.doc_id for r in got) == {7: 400, None: 2, 3: 1, 9: 1}
+    tie = {r.text: r.t for r in table.selectExpr("text", "xxhash64(coalesce(text, '')) as t").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    want = Counter()
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        text, after = text or "", after or ""
+        half = len(text) // 2
+        want[i, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 def test_fingerprints(spark, docs, rows, none, wide):
     from colonnade.llm import fingerprints as fp
 
@@ -32,15 +86,18 @@ def test_fingerprints(spark, docs, rows, none, wide):
     by_id = defaultdict(list)
     for r in got:
         by_id[r.doc_id].append(r)
-    order = sorted(rows, key=lambda r: (-r[0], fp._order(r[1] or "")))
+    tie = {r.text: r.t for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) as t").collect()}
+    order = sorted(rows, key=lambda r: (-r[0], tie[r[1]]))
     for (i, text, *_), (_, after, *_) in zip(order, order[1:] + order[:1], strict=True):
         text, after = text or "", after or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         mine = [r for r in by_id[i] if r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()]
         assert mine, i
-        assert mine[0].fingerprint == fp.text_form(fp.fingerprint(text)[None])[0]
-        assert 0 <= mine[0].near_edited <= 1 and 0 <= mine[0].near_next <= 1
+        one = plain_print(text)
+        assert mine[0].fingerprint == print_text(one) and mine[0].edited_fingerprint == print_text(plain_print(edited))
+        assert mine[0].near_edited == pytest.approx(plain_likeness(one, plain_print(edited)))
+        assert any(r.near_next == pytest.approx(plain_likeness(one, plain_print(after))) for r in mine)
     assert fp.fingerprint_documents(none).count() == 0
     assert fp.fingerprint_documents(docs.limit(1)).collect()[0].near_next == 1.0
     assert collect(fp.fingerprint_documents(wide)) == collect(fp.fingerprint_documents(docs))
@@ -54,6 +111,8 @@ def test_fingerprint_is_homomorphic():
     assert (insert(fingerprint(f"{a}\n{b}"), c) == fingerprint(f"{a}\n{b}\n{c}")).all()
     assert (delete(fingerprint(f"{a}\n{b}\n{c}"), b) == fingerprint(f"{a}\n{c}")).all()
     assert (fingerprint(a) != fingerprint(f"{a}\n{a}")).any()
+    many = lambda n: fingerprint("\n".join(["three same words"] * n))[None]
+    assert likeness(many(65536), many(65535))[0] > 0.999 and likeness(many(100), many(50))[0] == pytest.approx(2 / 3, abs=0.01)
     rng = random.Random(1)
     one = [str(rng.random()) for _ in range(600)]
     two = one[:300] + [str(rng.random()) for _ in range(300)]
@@ -85,6 +144,35 @@ def test_quality(spark, docs, none, wide):
     assert {r.score for r in q.score_documents(docs, untrained).collect()} == {0.5}
 
 
+def test_repeated_labelled_rows_count_once(spark, monkeypatch):
+    from colonnade.llm import quality as q
+
+    base = [(i, "good words here " * 5 if i % 2 else "BAD!!! " * 9) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, quality int")
+    sizes = []
+    fit = q.fit_pairs
+    monkeypatch.setattr(q, "fit_pairs", lambda x, good, **k: sizes.append(len(x)) or fit(x, good, **k))
+    for rows in (base, base + [(5, f"other {k}") for k in range(3000)]):
+        q.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert sizes[0] == sizes[1] == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
+
+
+def test_quality_on_the_test_tables(spark):
+    """Held-out labels of sf0.1: the score parts them."""
+    from colonnade.llm import quality as q
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    scored = q.score_documents(docs, q.train(docs, labels)).filter("held_out").join(labels, "doc_id").collect()
+    assert sum(r.predicted == r.quality for r in scored) / len(scored) > 0.95
+    # The rank of good ones among all: area under the curve.
+    order = sorted(scored, key=lambda r: r.score)
+    good = [k for k, r in enumerate(order) if r.quality == 1]
+    bad = len(order) - len(good)
+    area = (sum(good) - len(good) * (len(good) - 1) / 2) / (len(good) * bad)
+    assert area > 0.98
+
+
 def test_pairs_learn_a_direction():
     from colonnade.llm.quality import fit_pairs
 
@@ -491,6 +579,36 @@ def test_samples_estimate_weighted_jaccard():
     assert (a == b).mean() == pytest.approx(true, abs=0.05)
 
 
+def test_samples_of_long_texts():
+    """More shingles than table entries: ties are broken alike in both texts."""
+    from colonnade.llm import near_dups
+
+    rng = np.random.default_rng(9)
+    h = np.sort(rng.integers(0, 1 << 62, 400_000).astype(np.uint64))
+    k = near_dups.ROWS * near_dups.BANDS
+    agree = []
+    for shift in (0, 20_000, 40_000):
+        x, y = h[: 360_000 - shift], h[40_000 - shift :]
+        a, b = (near_dups.signatures(z, np.ones(len(z)), np.array([0]), k) for z in (x, y))
+        near = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        agree.append((a == b).mean() - near)
+    assert max(map(abs, agree)) < 0.15
+
+
+def test_common_shingles_are_exact_in_any_batches(spark):
+    from colonnade.llm import near_dups
+
+    rng = random.Random(2)
+    often = [" ".join(f"o{k}x{j}" for j in range(5)) for k in range(4)]
+    texts = [" ".join(o for k, o in enumerate(often) if rng.random() < (0.1, 0.24, 0.3, 0.9)[k]) + f" end{i}" for i in range(300)]
+    df = Counter(s for t in texts for s in {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)})
+    want = sorted(math.log1p(300 / n) / math.log1p(4) for n in df.values() if n > 75)
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    for parts in (1, 40, 300):
+        keys, idf = near_dups.common_shingles(table.repartition(parts), 300)
+        assert sorted(idf.tolist()) == pytest.approx(want) and len(keys) == len(want)
+
+
 def test_components_of_a_chain(spark):
     from colonnade.llm.near_dups import components
 
@@ -558,6 +676,56 @@ def test_replaced_words_anywhere(spark):
     assert not lost, (len(lost), len(cases), lost[:3])
 
 
+def coded(text, number):
+    return np.array([number.setdefault(w, len(number)) for w in words(text)], np.int64)
+
+
+def plain_leak(text, goal):
+    """Whether some alignment has a stretch of 13 words, or of the whole shorter item, with three quarters equal."""
+    least = min(13, len(goal))
+    if not least or not np.isin(text, goal).any():
+        return False
+    equal = np.zeros((len(text) + 2 * len(goal), len(goal)), bool)
+    equal[len(goal) : len(goal) + len(text)] = text[:, None] == goal
+    for zero in range(-len(goal) + 1, len(text)):
+        lo, hi = max(0, -zero), min(len(goal), len(text) - zero)
+        same = equal[len(goal) + zero + np.arange(lo, hi), np.arange(lo, hi)]
+        if same.sum() < 0.75 * least:
+            continue
+        gain = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
+        if any((gain[least + a :] >= gain[a]).any() for a in range(len(gain) - least)):
+            return True
+    return False
+
+
+def test_leaks_of_the_test_tables(spark):
+    """Every pair of a document and an item of sf0.001, by all alignments."""
+    from colonnade.llm import decontamination as dc
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 4000")
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    number: dict = {}
+    goals = {r.item_id: coded(r.text, number) for r in items.collect()}
+    texts = {r.doc_id: coded(r.text, number) for r in docs.collect()}
+    want = {(i, k) for i, text in texts.items() for k, goal in goals.items() if plain_leak(text, goal)}
+    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, items).collect()}
+    assert got == want and want
+
+
+def test_repeated_rows_and_null_ids(spark):
+    from colonnade.llm import decontamination as dc
+
+    leak = " ".join(f"w{k}" for k in range(20))
+    long = " ".join(["of the and"] * 2_000) + " " + leak
+    rows = [(1, leak), (1, leak), (1, "clean words"), (None, leak), (None, "x"), (2, long), (3, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(5, leak), (5, leak), (None, "of the and of the"), (6, " ".join(["of the and"] * 20))], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in dc.contaminated(table, items).collect()}
+    assert got == {1: "5", None: "5", 2: "-1,5,6"}
+    kept = Counter((r.doc_id, r.text) for r in dc.without_leaks(table, items).collect())
+    assert kept == {(1, "clean words"): 1, (None, "x"): 1, (3, ""): 1}
+
+
 def test_light_masks_miss_no_stretch():
     from itertools import combinations
 
@@ -618,6 +786,20 @@ def test_license_join_is_exact():
         assert got == want
 
 
+def test_positional_filter_prunes():
+    from colonnade.llm import licenses as lic
+
+    vocabulary = [f"w{k}" for k in range(12)]
+    hashes = {w: int(lic.word_hash(w)) for w in vocabulary}
+    frequency = {hashes[w]: k for k, w in enumerate(vocabulary)}  # w0 is the rarest
+    join = lic.Join({"n": " ".join(vocabulary[2:])}, frequency, 0.8)
+    held = lambda *ks: {hashes[f"w{k}"] for k in ks}
+    far = {10**6 + k for k in range(10)}  # words of no notice: long enough, nothing to find
+    assert join.candidates(held(*range(2, 12))) == [0]
+    assert join.candidates(held(2, 5, 6) | far) == []
+    assert join.candidates(held(4, *range(5, 12)) | far) == [0] and join.candidates(held(11) | far) == []
+
+
 def test_wrapped_notices(spark):
     import textwrap
 
@@ -668,6 +850,12 @@ def test_hilbert_shards(spark, docs, rows, none, wide):
     for s in range(8):
         own = [r for r in got if r.shard == s]
         assert sorted(r.slot for r in own) == list(range(len(own)))
+    place = lambda xs: {v: k for k, v in enumerate(sorted(xs, key=lambda v: (v is not None, v or "")))}
+    langs, sources = place({r[2] for r in rows}), place({r[3] for r in rows})
+    lowest = {}
+    for i, t, lang, source, _ in sorted(rows, key=lambda r: (r[0], r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
+        lowest.setdefault(zlib.crc32((t or "").encode()), (langs[lang], sources[source], min(15, (len((t or "").encode()) + 1).bit_length() - 1)))
+    assert all(r.curve_index == hs.hilbert_position(lowest[r.text_crc32], hs.BITS) for r in got)
     order = sorted(got, key=lambda r: (r.shard, r.slot))
     assert [r.curve_index for r in order] == sorted(r.curve_index for r in got)
     want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
@@ -779,6 +967,35 @@ def test_mix(spark, docs, rows, none, wide):
     assert mixing.mix_sources(none).count() == 0 and mixing.mix_sources(wide).count() == len(rows)
 
 
+def test_schedule_is_even(spark):
+    """In every run of slots each source has its share, but for a few."""
+    from colonnade.llm import mixing
+
+    targets = [(1, 50_000.0), (2, 20_000.0), (3, 25_000.0), (4, 5_000.0)]
+    table = spark.createDataFrame(targets, "source_rank int, target double")
+    slots = sorted(mixing.schedule(table, 10).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in slots] == list(range(len(slots)))
+    for rank, target in targets:
+        mine = np.array([r.source_rank == rank for r in slots])
+        assert [r.block for r in slots if r.source_rank == rank] == list(range(mine.sum()))
+        ahead = np.concatenate([[0], np.cumsum(mine) - target / 100_000 * np.arange(1, len(mine) + 1)])
+        assert ahead.max() - ahead.min() < 8  # random slots would stray by about 100
+    # The points themselves, in whole numbers of any size.
+    got = spark.range(3).selectExpr(f"(cast(id + {10**14} as decimal(17,0)) * {mixing.GOLDEN}BD + {mixing.UNIT // 2}BD) % {mixing.UNIT}BD as x").collect()
+    assert [int(r.x) for r in got] == [((10**14 + k) * mixing.GOLDEN + mixing.UNIT // 2) % mixing.UNIT for k in range(3)]
+
+
+def test_slots_of_documents(spark, docs):
+    from colonnade.llm import mixing
+
+    got = mixing.mix_sources(docs).collect()
+    assert all((r.first_slot is None) == (r.taken == 0) == (r.n_slots == 0) for r in got)
+    # Slots are dealt over the sources from the start on.
+    whole = sum({r.source: r.target for r in got}.values())
+    for source, target in {r.source: r.target for r in got if r.taken}.items():
+        assert min(r.first_slot for r in got if r.source == source and r.taken) <= 2 * whole / target + 4
+
+
 def test_tiny_sources_beside_huge_ones_have_their_slots(spark):
     from colonnade.llm import mixing
 
