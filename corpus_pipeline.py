@@ -1,7 +1,10 @@
 """A corpus pipeline over ``documents``: quality, near-dedup, decontamination, mix, token store.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-kept; all but the last return the columns of ``documents``.
+kept; all but the last return the columns of ``documents``.  In every stage null
+texts count as empty, nulls in other columns play no part but that a null source
+is a source, further columns are kept whatever their names, and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,25 +22,30 @@ from colonnade.runtime import ship_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents that score under 0.5 go."""
+    """Operator 2: documents that score under 0.5 go; repeated rows are judged each."""
     ship_package(spark)
     return keep_good(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: one document of each class stays, the one with the lowest doc_id."""
+    """Operator 5: one document of each class stays, the one with the lowest doc_id; rows that repeat it are one."""
     ship_package(spark)
     return keep_first_of_class(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that hold a benchmark item go."""
+    """Operator 6: documents that hold a benchmark item go; empty texts hold none."""
     ship_package(spark)
     return without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: each document stands as often as the mix takes it, to the nearest whole."""
+    """Operator 10: each document stands as often as the mix takes it.
+
+    The mix takes whole documents but for the last one of each source, which is
+    rounded: a source's words miss its target by half a document at most.
+    Documents without words, of which the mix takes none, go.
+    """
     ship_package(spark)
     keys = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text")]
     plan = mix_sources(docs).withColumn("_n", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5))
@@ -50,7 +58,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: ids in a content-addressed store, read back."""
+    """Operator 3: ids in a content-addressed store, read back; copies of a row are documents of their own."""
     import public_tokenizers
 
     ship_package(spark)
