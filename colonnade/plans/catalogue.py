@@ -13,6 +13,7 @@ import uuid
 from colonnade.sources.csv import read_csv
 from colonnade.sources.parquet import read_parquet
 from colonnade.table import Table
+from colonnade.vector import Vector
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -349,14 +350,12 @@ def block_agg(d):
     return o.aggregate("o_orderstatus", {"latest_": o["o_orderkey", "o_totalprice"].last})
 
 
-@query("SELECT count(*)::BIGINT AS n, round(sum(l_tax), 4) AS s, 1::BIGINT AS one FROM lineitem WHERE l_quantity > 1000")
+@query("SELECT count(*)::BIGINT AS n, coalesce(round(sum(l_tax), 4), 0.0) AS s, 1::BIGINT AS one FROM lineitem WHERE l_quantity > 1000")
 def global_agg(d):
+    """Of no rows: one row, and a sum of 0."""
     li = d.lineitem
     li = li[li.l_quantity > 1000]
-    from pyspark.sql import functions as F
-
-    df = _rounded(li.aggregate({"n": len, "s": li.l_tax.sum, "one": li.l_tax.constant(1)}), s=4)
-    return df.withColumn("s", F.nullif("s", F.lit(0.0)))
+    return _rounded(li.aggregate({"n": len, "s": li.l_tax.sum, "one": li.l_tax.constant(1)}), s=4)
 
 
 @query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
@@ -378,7 +377,6 @@ def callables(d):
   round(avg(o_totalprice) OVER w, 6) AS mean FROM orders WINDOW w AS (PARTITION BY o_orderpriority)""")
 def window_broadcast(d):
     o = d.orders
-    w = o.window(["o_orderkey", "o_orderpriority"], {})
     w = o.window("o_orderpriority", {"total": o.o_totalprice.sum, "n": len, "mean": o.o_totalprice.mean})
     return _rounded(o["o_orderkey",] >> w, total=2, mean=6)
 
@@ -449,12 +447,23 @@ def _levels(o):
     return found[::-1]
 
 
-@query("""SELECT o_orderkey, o_orderpriority AS p FROM (SELECT *, dense_rank() OVER (ORDER BY o_orderpriority DESC) AS c FROM orders)
-  ORDER BY c, o_orderkey LIMIT 200""")
+@query("""SELECT p, list(o_orderkey ORDER BY o_orderkey)[1] AS first_key, count(*)::BIGINT AS n, min(k) AS low, max(k) AS high FROM
+  (SELECT o_orderkey, o_orderpriority AS p, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS k FROM orders) GROUP BY p""")
 def category_sort(d):
+    """A table sorts categories by label: positions of each label in the sorted table."""
     o = d.orders
     t = o["o_orderkey",] >> {"p": o.o_orderpriority.categorize(_levels(o))}
-    return t.sort_by(["p", "o_orderkey"])[:200]
+    t = t.sort_by(["p", "o_orderkey"])
+    t = t >> {"k": Vector(range(len(t)))}
+    return t.aggregate("p", {"first_key": t.o_orderkey.first, "n": len, "low": t.k.min, "high": t.k.max})
+
+
+@query("""SELECT v::VARCHAR AS v, k FROM (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY o_orderpriority DESC) - 1 AS k FROM orders)""")
+def category_vector_sort(d):
+    """A vector sorts by the order of its categories."""
+    o = d.orders
+    v = o.o_orderpriority.categorize(_levels(o)).sort_by()
+    return Table({"v": v}) >> {"k": Vector(range(len(v)))}
 
 
 @query("""SELECT o_orderkey, o_orderpriority < (SELECT max(o_orderpriority) FROM orders) AS above FROM orders""")
@@ -555,11 +564,12 @@ def math_udfs(d):
     }
 
 
-@query("SELECT p_partkey, length(bin(p_size))::BIGINT AS bl, bit_count(p_size)::BIGINT AS bc, p_retailprice = floor(p_retailprice) AS w FROM part WHERE p_size > 0")
+@query("""SELECT p_partkey, CASE WHEN p_size = 0 THEN 0 ELSE length(bin(p_size)) END::BIGINT AS bl, bit_count(p_size)::BIGINT AS bc,
+  p_retailprice = floor(p_retailprice) AS w, p_size::BIGINT AS re, 0::BIGINT AS im, p_retailprice AS fr, 0.0::DOUBLE AS fi FROM part""")
 def number_methods(d):
     p = d.part
-    p = p[p.p_size > 0]
-    return p["p_partkey",] >> {"bl": p.p_size.bit_length(), "bc": p.p_size.bit_count(), "w": p.p_retailprice.is_integer()}
+    s, x = p.p_size, p.p_retailprice
+    return p["p_partkey",] >> {"bl": s.bit_length(), "bc": s.bit_count(), "w": x.is_integer(), "re": s.real, "im": s.imag, "fr": x.real, "fi": x.imag}
 
 
 # Tables -------------------------------------------------------------------------
@@ -729,28 +739,326 @@ def unique_vector(d):
     return d.orders["o_custkey",].unique().aggregate({"n": len})
 
 
-@query("""SELECT vec_id, label::BIGINT AS label FROM embeddings WHERE label % 2 = 0""")
+@query("""SELECT vec_id, label::BIGINT AS label, len(embedding)::BIGINT AS n, round(embedding[1]::DOUBLE, 5) AS head FROM embeddings WHERE label % 2 = 0""")
 def nested_opt_in(d):
+    from pyspark.sql import functions as F
+
     t = read_parquet(f"{d.sf_dir}/embeddings.parquet", nested=True)
-    return t[t.label % 2 == 0]["vec_id", "label"]
+    df = t[t.label % 2 == 0]["vec_id", "label", "embedding"].to_spark()
+    return df.select("vec_id", "label", F.size("embedding").cast("long").alias("n"), F.round(df.embedding[0].cast("double"), 5).alias("head"))
 
 
-@query("""SELECT role, count(*)::BIGINT AS n, max(turn) AS turns FROM conversations GROUP BY role""")
+@query("""SELECT role, count(*)::BIGINT AS n, max(turn) AS turns, sum(octet_length(encode(text)))::BIGINT AS bytes FROM conversations GROUP BY role""")
 def conversations(d):
+    from pyspark.sql import functions as F
+
     c = d.conversations
-    t = c >> {"last": c.text.encode()}
-    return t.aggregate("role", {"n": len, "turns": t.turn.max})
+    t = c >> {"raw": c.text.encode()}
+    df = t["role", "turn", "raw"].to_spark()
+    sizes = Table(df.select("role", "turn", F.octet_length("raw").cast("long").alias("size")))
+    return sizes.aggregate("role", {"n": len, "turns": sizes.turn.max, "bytes": sizes["size"].sum})
 
 
-@query("""SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total, round(sum(value * value), 0) AS squares FROM events WHERE ts >= TIMESTAMP '2024-01-01' OR ts < TIMESTAMP '2024-01-01' GROUP BY 1""")
+@query("""SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total, round(sum(value * value), 0) AS squares FROM events
+  WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-10' GROUP BY 1""")
 def events_by_type(d):
     e = d.events
-    cut = dt.datetime(2024, 1, 1)
-    e = e[(e.ts >= cut) | (e.ts < cut)]
+    e = e[(e.ts >= dt.datetime(2024, 1, 2)) & (e.ts < dt.datetime(2024, 1, 10))]
     e = e >> {"sq": e.value**2}
     return _rounded(e.aggregate("event_type", {"n": len, "total": e.value.sum, "squares": e.sq.sum}), total=2, squares=0)
 
 
+# Callables over groups ------------------------------------------------------------
+
+
+@query("""SELECT o_orderpriority, round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderkey % 3 = 0), 0), 2) AS traced,
+  max(o_orderkey) FILTER (WHERE o_totalprice > 100000) AS top, count(DISTINCT o_custkey) FILTER (WHERE o_totalprice > 200000) AS local FROM orders GROUP BY 1""")
+def callable_mask(d):
+    """Masks inside callables: the first two become filtered aggregates, the third a local table."""
+    o = d.orders
+    return _rounded(o.aggregate("o_orderpriority", {
+        "traced": lambda t: t[t.o_orderkey % 3 == 0].o_totalprice.sum(),
+        "top": lambda t: t.o_orderkey[t.o_totalprice > 100000].max(),
+        "local": lambda t: len(t[t.o_totalprice > 200000].o_custkey.unique()),
+    }), traced=2)
+
+
+@query("""SELECT p_brand, CASE WHEN count(*) % 2 = 0 THEN count(*)::DOUBLE ELSE count(*) + 0.5 END AS m, median(p_size)::DOUBLE AS med,
+  round(sum(ln(p_retailprice)), 6) AS l FROM part GROUP BY 1""")
+def callable_mixed_kinds(d):
+    """Kinds of callables' values come from all groups: ints beside floats are floats."""
+    p = d.part
+    return _rounded(p.aggregate("p_brand", {
+        "m": lambda t: len(t) if len(t) % 2 == 0 else len(t) + 0.5,
+        "med": lambda t: float(t.p_size.stats.median()) if len(t) else 0.0,
+        "l": lambda t: sum(t.p_retailprice.math.log()),
+    }), l=6)
+
+
+@query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_quantity < 50 THEN l_quantity ELSE l_quantity / 3 END AS v FROM lineitem""")
+def cast_callable(d):
+    """The one value in fifty that is no whole number makes all floats."""
+    li = d.lineitem
+    return li["l_orderkey", "l_linenumber"] >> {"v": li.l_quantity.cast(int).cast(lambda a: a if a < 50 else a / 3)}
+
+
+# Strings, further -------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, regexp_full_match(p_brand, '[A-Za-z0-9]+') AS alnum, regexp_full_match(p_brand, '[ -~]*') AS printable, true AS ascii_,
+  regexp_full_match(k, '[0-9]+') AS dec, regexp_full_match(k, '[0-9]+') AS dig, regexp_full_match(k, '[0-9]+') AS num,
+  regexp_full_match(p_type, '[A-Za-z_][A-Za-z0-9_]*') AS ident, p_name = lower(p_name) AS low, false AS space, p_brand = upper(p_brand) AS up
+  FROM (SELECT *, split_part(p_brand, '#', 2) AS k FROM part)""")
+def string_tests(d):
+    p = d.part
+    k = p.p_brand.after("#")
+    return p["p_partkey",] >> {
+        "alnum": p.p_brand.isalnum(), "printable": p.p_brand.isprintable(), "ascii_": p.p_name.isascii(), "dec": k.isdecimal(),
+        "dig": k.isdigit(), "num": k.isnumeric(), "ident": p.p_type.isidentifier(), "low": p.p_name.islower(),
+        "space": p.p_name.isspace(), "up": p.p_brand.isupper(),
+    }
+
+
+@query("""SELECT p_partkey, ltrim(x) AS l, rtrim(x) AS r, trim(x) AS s, trim(p_name, 'rs') AS sc, ltrim(p_name, 'rs') AS lc, rtrim(p_name, 'gt') AS rc,
+  CASE WHEN strpos(y, ' ') > 0 THEN left(y, length(y) - strpos(reverse(y), ' ')) ELSE '' END AS bl, list_extract(string_split(y, ' '), -1) AS al,
+  list_extract(string_split(y, ' '), -1) AS tail, ends_with(p_name, 'ring') AS e, length(y) - strpos(reverse(y), ' ') AS ri
+  FROM (SELECT *, '  ' || p_name || '  ' AS x, p_name || ' ' || p_type AS y FROM part)""")
+def string_ends(d):
+    from pyspark.sql import functions as F
+
+    p = d.part
+    x, y = "  " + p.p_name + "  ", p.p_name + " " + p.p_type
+    t = p["p_partkey",] >> {
+        "l": x.lstrip(), "r": x.rstrip(), "s": x.strip(), "sc": p.p_name.strip("rs"), "lc": p.p_name.lstrip("rs"), "rc": p.p_name.rstrip("gt"),
+        "bl": y.before_last(" "), "al": y.after_last(" "), "rp": y.rpartition(" "), "e": p.p_name.endswith("ring"), "ri": y.rindex(" "),
+    }
+    df = t.to_spark()
+    return df.withColumn("tail", df.rp[2]).drop("rp")
+
+
+@query("""SELECT p_partkey, translate(p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ') AS sw,
+  array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS ti, lower(p_type) AS cf,
+  p_type = upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS it, p_brand AS fo, p_brand AS fm, octet_length(encode(p_name))::BIGINT AS en,
+  'a' || p_type || 'b' || p_type || 'c' AS jo, repeat(' ', ((11 - length(w)) // 2 + (11 - length(w)) % 2)::INT) || w || repeat(' ', ((11 - length(w)) // 2)::INT) AS ce,
+  split_part(p_name, ' ', 1) AS head, 'x       y' AS ex, 2::BIGINT AS li, string_split(p_name, ' ')[1] AS rs
+  FROM (SELECT *, left(p_name, 5) AS w FROM part)""")
+def string_cases(d):
+    from pyspark.sql import functions as F
+
+    p = d.part
+    w = p.p_name.cast(lambda v: v[:5], returns=str)
+    two = p.p_name.replace(" ", "\n")
+    t = p["p_partkey",] >> {
+        "sw": p.p_type.swapcase(), "ti": p.p_name.title(), "cf": p.p_type.casefold(), "it": p.p_type.istitle(), "fo": p.p_brand.format(),
+        "fm": p.p_brand.format_map({}), "raw": p.p_name.encode(), "jo": p.p_type.join(["a", "b", "c"]), "ce": w.center(11),
+        "head": p.p_name.before(" "), "ex": p.p_name.cast(lambda v: "x\ty", returns=str).expandtabs(), "lines": two.splitlines(),
+        "parts": p.p_name.rsplit(" ", 1),
+    }
+    df = t.to_spark()
+    return df.withColumns({"en": F.octet_length("raw").cast("long"), "li": F.size("lines").cast("long"), "rs": df.parts[0]}).drop("raw", "lines", "parts")
+
+
+# Math and statistics, further ---------------------------------------------------------
+
+
+@query("""SELECT p_partkey, abs(-x) AS fa, isfinite(x) AS fi, isinf(x) AS inf, isnan(x) AS nan, round(ln(1 + s), 8) AS l1, round(log10(x), 8) AS l10,
+  round(exp(s / 100.0) - 1, 8) AS em, round(radians(x), 8) AS ra, round(acos(s / 60.0), 8) AS ac, round(asin(s / 60.0), 8) AS asi, round(atan(s::DOUBLE), 8) AS at,
+  round(cos(s::DOUBLE), 8) AS co, round(tan(s / 60.0), 8) AS ta, (s % 7 * (s % 7 - 1))::BIGINT AS pe, (s % 7)!::BIGINT AS pf, (s * (s - 1) // 2)::BIGINT AS cb,
+  nextafter(x, 0.0::DOUBLE) AS nx, abs(x - 5 * round_even(x / 5, 0)) <= 2.5 AS re, -x AS cs FROM (SELECT p_partkey, p_size AS s, p_retailprice AS x FROM part)""")
+def math_further(d):
+    p = d.part
+    s, x = p.p_size, p.p_retailprice
+    t = p["p_partkey",] >> {
+        "fa": (-x).math.fabs(), "fi": x.math.isfinite(), "inf": x.math.isinf(), "nan": x.math.isnan(), "l1": s.math.log1p(), "l10": x.math.log10(),
+        "em": (s / 100).math.expm1(), "ra": x.math.radians(), "ac": (s / 60).math.acos(), "asi": (s / 60).math.asin(), "at": s.math.atan(),
+        "co": s.math.cos(), "ta": (s / 60).math.tan(), "pe": (s % 7).math.perm(2), "pf": (s % 7).math.perm(), "cb": s.math.comb(2),
+        "nx": x.math.nextafter(0.0), "re": abs(x.math.remainder(5.0)) <= 2.5, "cs": x.math.copysign(-0.0),
+    }
+    return _rounded(t, l1=8, l10=8, em=8, ra=8, ac=8, asi=8, at=8, co=8, ta=8)
+
+
+@query("""SELECT event_id, floor(a / b) AS q, a - b * floor(a / b) BETWEEN -1e-6 AND 7 AS m, trunc(a * 1e300) AS w, round(ln(a / 1e9 + sqrt(a / 1e9 * a / 1e9 + 1)) * 1e9, 3) AS h
+  FROM (SELECT event_id, value + 1e6 AS a, 7.0::DOUBLE AS b FROM events)""")
+def float_edges(d):
+    from pyspark.sql import functions as F
+
+    e = d.events
+    a = e.value + 1e6
+    t = e["event_id",] >> {"q": a // 7.0, "m": (a % 7.0 >= -1e-6) & (a % 7.0 <= 7), "w": (a * 1e300).math.modf(), "h": (a / 1e9).math.asinh() * 1e9}
+    df = _rounded(t, h=3)
+    return df.withColumn("w", df.w[1])
+
+
+@query("""SELECT o_orderpriority, round(avg(o_totalprice), 6) AS fm, round(stddev_samp(o_totalprice), 4) AS sd, quantile_cont(o_totalprice, 0.25) AS q1,
+  quantile_cont(o_totalprice, 0.5) AS q2, quantile_cont(o_totalprice, 0.75) AS q3, round(fsum(o_totalprice), 2) AS fs,
+  round(avg(o_custkey), 6) AS mean FROM orders GROUP BY 1""")
+def stats_further(d):
+    o = d.orders
+    s = o.o_totalprice.stats
+    out = o.aggregate("o_orderpriority", {
+        "fm": s.fmean, "sd": o.o_totalprice.std, "q": lambda t: t.o_totalprice.stats.quantiles(method="inclusive"),
+        "fs": o.o_totalprice.math.fsum, "mean": o.o_custkey.stats.mean,
+    })
+    df = _rounded(out, fm=6, sd=4, fs=2, mean=6)
+    return df.withColumns({f"q{k + 1}": df.q[k] for k in range(3)}).drop("q")
+
+
+@query("""SELECT round(stddev_samp(o_totalprice), 4) AS sd, quantile_cont(o_totalprice, 0.5) AS med, round(fsum(o_totalprice), 2) AS fs, max(o_orderkey) AS mx,
+  (SELECT list_reduce(list(DISTINCT (p_size % 4 + 1)::BIGINT), lambda a, b: lcm(a, b)) FROM part) AS l, 1::BIGINT AS g FROM orders""")
+def reductions_of_vectors(d):
+    """Reductions that give values, not tables."""
+    o, p = d.orders, d.part
+    x = o.o_totalprice
+    few = p.p_size % 4 + 1
+    return Table({
+        "sd": [round(x.std(), 4)], "med": [x.stats.quantiles(n=2, method="inclusive")[0]], "fs": [round(x.math.fsum(), 2)],
+        "mx": [o.o_orderkey.max()], "l": [few.math.lcm()], "g": [few.math.gcd()],
+    })
+
+
+@query("""SELECT count(*)::BIGINT AS s0, sum(s_suppkey) AS s1, round(sum(s_acctbal), 2) AS s2, max(s_nationkey)::BIGINT AS top,
+  (SELECT count(*) FROM supplier WHERE s_acctbal > 5000)::BIGINT AS n FROM supplier""")
+def block_reductions(d):
+    """t.sum() and the like: one value for each column, as a vector."""
+    s = d.supplier["s_suppkey", "s_acctbal", "s_nationkey"]
+    sums, tops = s.sum(), s.max()
+    return Table({
+        "s0": [s.count()[0]], "s1": [int(sums[0])], "s2": [round(sums[1], 2)], "top": [int(tops[2])], "n": [len(s[s.s_acctbal > 5000])],
+    })
+
+
+# Tables and vectors, further -------------------------------------------------------------
+
+
+@query("""SELECT (s_suppkey > 10) AND (s_nationkey > 3) AS a, (s_suppkey > 10) OR (s_nationkey > 3) AS o, NOT (s_suppkey > 10) AS i, (s_suppkey > 10) <> (s_nationkey > 3) AS x,
+  100 - s_suppkey AS r, -s_suppkey AS n, abs(-s_nationkey)::BIGINT AS ab, s_suppkey::DOUBLE AS c, s_suppkey >= s_nationkey AS ge, s_suppkey + 2 * s_nationkey AS dots FROM supplier""")
+def table_operators(d):
+    """Lifted comparison, logic, reverse arithmetic, signs, casts and products of tables."""
+    t = d.supplier["s_suppkey", "s_nationkey"]
+    big = (t["s_suppkey",] > 10) >> (t["s_nationkey",] > 3)
+    left, right = big["s_suppkey",].rename_columns({"s_suppkey": "v"}), big["s_nationkey",].rename_columns({"s_nationkey": "v"})
+    out = (left & right).rename_columns({"v": "a"}) >> (left | right).rename_columns({"v": "o"})
+    out = out >> (~left).rename_columns({"v": "i"}) >> (left ^ right).rename_columns({"v": "x"})
+    out = out >> {"r": (100 - t).s_suppkey, "n": (-t).s_suppkey, "ab": abs(-(+t)).s_nationkey, "c": t.cast(float).s_suppkey}
+    same = t["s_suppkey",].rename_columns({"s_suppkey": "v"}) >= t["s_nationkey",].rename_columns({"s_nationkey": "v"})
+    return out >> {"ge": same.v, "dots": t @ [1, 2]}
+
+
+@query("""SELECT round(sum(s_suppkey * s_acctbal), 2) AS a, sum(s_suppkey * s_nationkey)::BIGINT AS b FROM supplier""")
+def vector_at_table(d):
+    s = d.supplier
+    found = s.s_suppkey @ s["s_acctbal", "s_nationkey"]
+    return Table({"a": [round(found[0], 2)], "b": [int(found[1])]})
+
+
+@query("""SELECT k, v FROM (SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS k, c_acctbal AS v FROM customer)""")
+def vector_sort(d):
+    v = d.customer.sort_by("c_custkey").c_acctbal.sort_by(reverse=True)
+    return Table({"k": range(len(v))}) >> {"v": v}
+
+
+@query("""SELECT c_custkey, c_acctbal > 0 AND c_nationkey < 5 AS f, 5 & c_custkey AS b, 5 | c_custkey AS o, xor(5::BIGINT, c_custkey) AS x, +c_custkey AS p,
+  c_acctbal IS NOT NULL AS t, c_acctbal IS NULL AS na FROM customer""")
+def reflected(d):
+    import warnings
+
+    c = d.customer
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        missing = c.c_acctbal == None  # noqa: E711
+    return c["c_custkey",] >> {
+        "f": (c.c_acctbal > 0) & (c.c_nationkey < 5), "b": 5 & c.c_custkey, "o": 5 | c.c_custkey, "x": 5 ^ c.c_custkey, "p": +c.c_custkey,
+        "t": c.c_acctbal.is_type(float), "na": missing,
+    }
+
+
+@query("""SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey IN (0, 2, 24) THEN 'edge' WHEN n_nationkey BETWEEN 5 AND 7 THEN 'few' ELSE n_name END AS name,
+  CASE WHEN n_nationkey = 3 THEN -1 WHEN n_nationkey = 4 THEN -2 ELSE n_regionkey END::BIGINT AS r, n_nationkey * 2 AS twice FROM nation""")
+def point_writes(d):
+    """Assignment by positions and slices, a batch of point writes, and a replaced column."""
+    t = d.nation.sort_by("n_nationkey").copy()
+    t = t.rename_columns({"n_nationkey": "k", "n_name": "name", "n_regionkey": "r"})
+    t[[0, 2, -1], "name"] = "edge"
+    t[5:8, "name"] = "few"
+    with t.batch() as b:
+        b[3, "r"] = -1
+        b[4, "r"] = -2
+    t = t >> {"twice": t.k}
+    t.twice = t.k * 2
+    return t
+
+
+@query("""SELECT k::BIGINT AS k, v FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, n_name AS v FROM nation WHERE n_regionkey = 1)
+  UNION ALL SELECT (SELECT count(*) FROM nation WHERE n_regionkey = 1), 'last'""")
+def vector_masks_and_appends(d):
+    n = d.nation.sort_by("n_nationkey")
+    v = n.n_name[n.n_regionkey == 1] << ["last"]
+    return Table({"k": range(len(v))}) >> {"v": v}
+
+
+@query("""SELECT 'n_nationkey' AS name, 'int' AS kind, 25::BIGINT AS n, 'nations' AS of UNION ALL SELECT 'label', 'str', 25, 'nations' UNION ALL SELECT 'n_regionkey', 'int', 25, 'nations'""")
+def names_and_kinds(d):
+    """Names, kinds and shape, by which no row is read."""
+    t = d.nation.rename_columns({"n_name": "label"})
+    t.table_name = "nations"
+    kinds_ = [c.schema().kind.__name__ for c in t.cols()]
+    return Table({"name": t.column_names(), "kind": kinds_, "n": [t.shape[0]] * 3, "of": [t.table_name] * 3})
+
+
+@query("""SELECT c.k, c.v FROM (SELECT r_regionkey::BIGINT AS k, r_name AS v FROM region) c""")
+def rows_and_transposition(d):
+    """Rows as tuples, two axes, and a table turned twice."""
+    r = d.region.sort_by("r_regionkey")
+    turned = r["r_name",].T
+    keys = [row[0] for row in r]
+    names = [turned.cols(i)[0] for i in range(len(r))]
+    assert r[0, "r_name"] == names[0] and r["r_name"][0] == names[0]
+    return Table({"k": keys, "v": names})
+
+
+@query("""SELECT event_id, ts + INTERVAL 36 HOUR AS later, ts - INTERVAL 90 MINUTE AS before, ts::DATE + 1 AS next_day, epoch(ts - TIMESTAMP '2024-01-01')::BIGINT >= 0 AS past
+  FROM events""")
+def datetimes(d):
+    e = d.events
+    return e["event_id",] >> {
+        "later": e.ts + dt.timedelta(hours=36), "before": e.ts - dt.timedelta(minutes=90), "next_day": e.ts.cast(dt.date) + dt.timedelta(days=1),
+        "past": e.ts - dt.datetime(2024, 1, 1) >= dt.timedelta(0),
+    }
+
+
+@query("""SELECT p_partkey, lpad(lower(hex(p_size % 256)), 4, '0') AS b, p_size % 3 = 0 AS t FROM part""")
+def int_bytes(d):
+    from pyspark.sql import functions as F
+
+    p = d.part
+    df = (p["p_partkey",] >> {"raw": p.p_size.to_bytes(2, "big"), "t": p.p_size % 3 == 0}).to_spark()
+    return df.select("p_partkey", F.lower(F.hex("raw")).alias("b"), "t")
+
+
+@query("""SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS a, c_mktsegment AS seg, CASE WHEN c_custkey % 2 = 0 THEN 'BUILDING' ELSE c_mktsegment END AS s FROM customer""")
+def categories_further(d):
+    """Domains set anew, labels tested, masks and fills of categoricals."""
+    c = d.customer
+    segments = sorted(c.c_mktsegment.unique().to_list())
+    v = c.c_mktsegment.categorize(segments)
+    wider = v.set_categories([*segments, "NONE"])
+    some = c.c_mktsegment.copy()
+    some[c.c_custkey % 2 == 0] = None
+    filled = some.categorize(segments).fillna("BUILDING")
+    return c["c_custkey",] >> {"a": v.isin(["BUILDING", "MACHINERY"]), "seg": wider, "s": filled}
+
+
+@query("""SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 97 = 0""")
+def csv_objects(d):
+    """A CSV read from an open file."""
+    import io
+
+    c = d.customer
+    some = c[c.c_custkey % 97 == 0]["c_custkey", "c_name"].to_dict()
+    lines = ["k,v", *[f'{k},"{v}"' for k, v in zip(some["c_custkey"], some["c_name"], strict=True)]]
+    return read_csv(io.StringIO("\r\n".join(lines)))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

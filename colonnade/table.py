@@ -494,14 +494,19 @@ class Table:
         return Table.of(frame, made, self._table_name)
 
     def sort_by(self, by, reverse=False, na_last=True) -> Table:
-        """Stable; ``reverse`` for all keys or one for each; nulls last or first whatever the direction."""
-        keys = self._keys(by)
+        """Stable; ``reverse`` for all keys or one for each; nulls last or first whatever the direction.
+
+        Categoricals sort by their labels (a vector of its own: by the order of its categories).
+        """
+        return self._sorted_by([(k, k.value_column) for k in self._keys(by)], reverse, na_last)
+
+    def _sorted_by(self, keys, reverse, na_last) -> Table:
         flags = list(reverse) if isinstance(reverse, (list, tuple)) else [reverse] * len(keys)
         if len(flags) != len(keys):
             raise ColumnValueError("as many directions as keys")
         names = [fresh("s") for _ in keys]
         view = Table.of(
-            Frame(self._frame.df.select("*", *[k._col.alias(n) for k, n in zip(keys, names, strict=True)]), self._frame.order, self._frame.rows, plain=self._frame.plain),
+            Frame(self._frame.df.select("*", *[c.alias(n) for (_, c), n in zip(keys, names, strict=True)]), self._frame.order, self._frame.rows, plain=self._frame.plain),
             self._columns,
         )
         order = [(n, not f, na_last) for n, f in zip(names, flags, strict=True)] + list(self._frame.order)

@@ -399,7 +399,7 @@ class Vector:
         return self._only(self._rows().unique())
 
     def sort_by(self, reverse=False, na_last=True) -> Vector:
-        return self._only(self._rows().sort_by(self, reverse=reverse, na_last=na_last))
+        return self._only(self._rows()._sorted_by([(self, self._col)], reverse, na_last))
 
     def __lshift__(self, other):
         from colonnade.table import Table
