@@ -96,7 +96,7 @@ def modulo(a: Column, b: Column, kind=int) -> Column:
     out = F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
     if kind is float:
         # A zero has the divisor's sign.
-        out = F.when(rest == 0, F.when(b < 0, F.lit(-0.0)).otherwise(F.lit(0.0))).otherwise(out)
+        out = F.when(rest == 0, F.when(b < 0, -F.abs(rest)).otherwise(F.abs(rest))).otherwise(out)
     return out
 
 

@@ -31,6 +31,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A shared folder for tables of one application: the cluster's checkpoint folder, or a local one."""
+    """A shared folder for tables of one application: the cluster's checkpoint folder; in local mode a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else tempfile.mkdtemp(prefix="colonnade-")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="colonnade-")

@@ -24,12 +24,29 @@ def _gate(schema: T.StructType, nested: bool) -> None:
             raise ColumnTypeError(f"{field.name}: nested columns are refused; pass nested=True to keep them")
 
 
+def _refuse_unsigned(spark, files: list[str], schema: T.StructType) -> None:
+    """Spark reads unsigned 64-bit numbers as decimal(20, 0); only a footer tells them from decimals."""
+    if not files or not any(f.dataType == T.DecimalType(20, 0) for f in schema):
+        return
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(files[0]), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    try:
+        lines = reader.getFooter().getFileMetaData().getSchema().toString().splitlines()
+    finally:
+        reader.close()
+    bad = [line.split()[2] for line in lines if "INTEGER(64,false)" in line]
+    if bad:
+        raise ColumnTypeError(f"{bad[0]}: unsigned 64-bit columns are refused")
+
+
 def read_parquet(path: str, nested: bool = False):
     """A table over the files; no job runs. Widens to int64, float64 and naive timestamps."""
     spark = session()
     df = spark.read.parquet(path)
     _gate(df.schema, nested)
     files = sorted(df.inputFiles())
+    _refuse_unsigned(spark, files, df.schema)
     row = F.col("_metadata.row_index")
     if len(files) == 1:
         order = row

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import math
+import random
 import statistics
 import warnings
 
 import pytest
 
 from colonnade import (
-    ColumnIndexError, ColumnKeyError, ColumnTypeError, ColumnValueError, EmptyReductionWarning, Table, Vector,
+    ColumnIndexError, ColumnKeyError, ColumnTypeError, ColumnValueError, EmptyReductionWarning, Table, Vector, read_csv, read_parquet,
 )
 
 pytestmark = pytest.mark.usefixtures("spark")
@@ -393,3 +394,121 @@ def test_display():
     t = Table({"a": [1, None], "b c": ["x", "y"]})
     assert "a: int?" in t._ and "b_c: str" in t._
     assert "2 x 2 table <int?, str>" in repr(t)
+
+
+# Values that earlier rules got wrong
+
+
+def test_kinds_of_callables_come_from_all_values(spark):
+    n = 200
+    t = Table({"g": ["a"] * n + ["b"] * n, "x": [2] * n + [1] * (n - 1) + [101]})
+    out = t.aggregate("g", {"m": lambda q: sum(q.x) / len(q) if max(q.x) > 50 else max(q.x)})
+    assert out.to_dict() == {"g": ["a", "b"], "m": [2.0, 1.5]}
+    v = Vector(list(range(60))).cast(lambda a: a if a < 50 else a / 2)
+    assert v.to_list() == [float(a) if a < 50 else a / 2 for a in range(60)] and v.schema().kind is float
+    assert Vector([1, None, 3]).cast(lambda a: f"<{a}>").to_list() == ["<1>", None, "<3>"]
+    assert Vector([1, 2]).cast(lambda a: "x" if a == 1 else 5).to_list() == ["x", "5"]
+    with pytest.raises(Exception, match="returns="):
+        Vector([1, 2]).cast(lambda a: a / 2, returns=int).to_list()
+    with pytest.raises(Exception, match="returns="):
+        t.aggregate("g", {"m": lambda q: q.x.to_list()[0] + 0.5}, returns={"m": int}).to_dict()
+
+
+def test_groups_as_local_tables(spark):
+    nan = float("nan")
+    t = Table({"g": [1, 1, 1, 2, 2], "x": [1.0, nan, None, 4.0, 6.0], "y": [10, 20, 30, 40, None], "s": ["b", "a", None, "c", "d"]})
+    out = t.aggregate("g", {
+        "nans": lambda q: sum(1 for v in q.x if v is not None and v != v),
+        "traced": lambda q: q[q.y > 10].y.sum(),
+        "one": lambda q: q.y[q.x >= 4].max(),
+        "loops": lambda q: len(q[(q.y > 10) & ~(q.y > 30)]),
+        "sorted": lambda q: q.sort_by("s", reverse=True).s.first(),
+        "stat": lambda q: float(q.y.stats.median()) if len(q) > 1 else 0.0,
+        "math": lambda q: sum((q.y.fillna(0) * 2).math.sqrt()),
+        "text": lambda q: ",".join(q.s.dropna().upper()),
+    })
+    assert out.to_dict() == {
+        "g": [1, 2], "nans": [1, 0], "traced": [50, 40], "one": [None, 40], "loops": [2, 0], "sorted": ["b", "d"], "stat": [20.0, 40.0],
+        "math": pytest.approx([sum((2 * v) ** 0.5 for v in (10, 20, 30)), 80**0.5]), "text": ["B,A", "C,D"],
+    }
+    with pytest.raises(Exception, match="truth value"):
+        t.aggregate("g", {"bad": lambda q: 1 if q.y.unique() else 0}).to_dict()
+
+
+def test_gathered_reductions(spark):
+    t = Table({"g": [1, 1, 1, 2, 3, 3], "x": [4, 6, None, None, 10, 15], "f": [1e16, 1.0, -1e16, None, 0.1, 0.2]})
+    out = t.aggregate("g", {"p": t.x.math.prod, "d": t.x.math.gcd, "m": t.x.math.lcm, "s": t.f.math.fsum})
+    assert out.to_dict() == {"g": [1, 2, 3], "p": [24, 1, 150], "d": [2, 0, 5], "m": [12, 1, 30], "s": [1.0, 0.0, math.fsum([0.1, 0.2])]}
+    big = Vector([3_000_000_000] * 5 + [0])
+    assert big.math.prod() == 0 and Vector([], int).math.prod() == 1
+    with pytest.raises(Exception, match="64 bits"):
+        Vector([3_000_000_000] * 5).math.prod()
+    rng = random.Random(1)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randrange(-300, 300) for _ in range(3000)]
+    assert Vector(values).math.fsum() == math.fsum(values)
+
+
+def test_order_statistics_of_counts(spark):
+    rng = random.Random(3)
+    data = {g: [rng.randrange(20) / 2 for _ in range(n)] for g, n in (("a", 1), ("b", 2), ("c", 37), ("d", 500))}
+    t = Table({"g": [g for g, xs in data.items() for _ in xs], "x": [x for xs in data.values() for x in xs]})
+    out = t.aggregate("g", {
+        "q": lambda u: u.x.stats.quantiles(n=7, method="inclusive"), "hi": t.x.stats.median_high, "lo": t.x.stats.median_low, "m": t.x.stats.multimode,
+    }).to_dict()
+    ex = t.aggregate("g", {"q": t.x.stats.quantiles}).to_dict()["q"]
+    for k, xs in enumerate(data.values()):
+        assert out["hi"][k] == statistics.median_high(xs) and out["lo"][k] == statistics.median_low(xs)
+        assert out["m"][k] == statistics.multimode(xs)
+        if len(xs) > 1:
+            assert out["q"][k] == pytest.approx(statistics.quantiles(xs, n=7, method="inclusive")) and ex[k] == pytest.approx(statistics.quantiles(xs))
+        else:
+            assert out["q"][k] is None and ex[k] is None
+    assert t.x.stats.quantiles(n=9) == pytest.approx(statistics.quantiles([x for xs in data.values() for x in xs], n=9))
+    for wrong in (lambda: t.x.stats.quantiles(10), lambda: t.x.stats.fmean("junk"), lambda: t.x.math.fsum(1)):
+        with pytest.raises(TypeError):
+            wrong()
+
+
+def test_values_like_pythons(spark):
+    words_ = ["ßa", "ǆa", "ΑΣ", "ﬁx", "hELLO", "", None, "éCOLE"]
+    assert Vector(words_).capitalize().to_list() == [None if w is None else w.capitalize() for w in words_]
+    odd = ["²", "12", "½", "", "ab1", "é", "1a", "a\n", " "]
+    for name in ("isdigit", "isnumeric", "isidentifier", "isprintable"):
+        assert getattr(Vector(odd), name)().to_list() == [getattr(w, name)() for w in odd], name
+    x = [1e300, -1e300, 2.5, -2.5, 1e16, -0.0, 4503599627370497.5, float("inf")]
+    assert Vector(x).math.modf().to_list() == [list(math.modf(v)) for v in x]
+    a, b = [1e16, -7.5, 7.5, 1e300, -0.0, 0.3, 6.0], [3.0, 2.0, -2.0, 7.0, 5.0, 0.1, -3.0]
+    assert (Vector(a) // Vector(b)).to_list() == [p // q for p, q in zip(a, b)]
+    assert [repr(v) for v in (Vector(a) % Vector(b)).to_list()] == [repr(p % q) for p, q in zip(a, b)]
+    small = [1e-9, -1e-300, 0.5, -3.0, 1e10, 1e300, 0.0]
+    assert Vector(small).math.asinh().to_list() == pytest.approx([math.asinh(v) for v in small], rel=1e-14)
+    signs = [0.0, -0.0, 5.0, -5.0]
+    assert [repr(v) for v in Vector([3.0, 3.0, -3.0, -3.0]).math.copysign(Vector(signs)).to_list()] == ["3.0", "-3.0", "3.0", "-3.0"]
+    assert Vector(["1_000", " 7 ", None]).cast(int).to_list() == [1000, 7, None]
+
+
+def test_csv_sources(spark, tmp_path):
+    text = 'k,v\r\n1,"a\nb"\r\n2,plain\r\n'
+    path = tmp_path / "lines.csv"
+    path.write_bytes(text.encode())
+    plain = tmp_path / "plain.csv"
+    plain.write_text("k,v\n1,x\n2,\"y,z\"\n")
+    assert read_csv(str(path)).to_dict() == {"k": [1, 2], "v": ["a\nb", "plain"]}
+    assert read_csv(str(plain)).to_dict() == {"k": [1, 2], "v": ["x", "y,z"]}
+    import io
+
+    assert read_csv(io.StringIO(text)).to_dict() == read_csv(io.BytesIO(b"\xef\xbb\xbf" + text.encode())).to_dict() == {"k": [1, 2], "v": ["a\nb", "plain"]}
+    assert read_csv(io.StringIO("")).shape == (0, 0)
+    with pytest.raises(ValueError):
+        read_csv(io.StringIO("a,b\n1,2,3\n")).to_dict()
+
+
+def test_unsigned_columns_are_refused(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"u": pa.array([1, 2], pa.uint64())}), tmp_path / "u.parquet")
+    pq.write_table(pa.table({"d": pa.array([1, 2], pa.decimal128(20, 0))}), tmp_path / "d.parquet")
+    with pytest.raises(TypeError, match="unsigned"):
+        read_parquet(str(tmp_path / "u.parquet"))
+    assert read_parquet(str(tmp_path / "d.parquet")).shape == (2, 1)
