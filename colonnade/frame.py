@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ids = itertools.count()
+#: Up to so many rows are numbered by one task; more are sorted, written and numbered file by file.
+ONE_TASK = 1 << 20
 
 
 def fresh(prefix: str = "v") -> str:
@@ -26,7 +29,8 @@ class Frame:
     """``order``: (column, ascending, nulls last) in turn; the rows' positions follow it.
 
     ``plain`` is the same rows without what makes the order (a file's row
-    numbers), for whatever needs none.
+    numbers), for whatever needs none.  ``dense`` names the order's column if it
+    counts the rows from 0.
     """
 
     df: DataFrame
@@ -34,6 +38,7 @@ class Frame:
     rows: int | None = None
     verdicts: list[tuple[str, str]] = field(default_factory=list)
     plain: DataFrame | None = None
+    dense: str | None = None
 
     @property
     def bare(self) -> DataFrame:
@@ -74,18 +79,37 @@ class Frame:
         return F.col(name)
 
     def numbered(self) -> str:
-        """Name of a column with dense positions from 0.
-
-        A window over one partition: for slices and the alignment of different
-        frames only; heads use ``sorted().limit``.
-        """
+        """Name of a column with dense positions from 0."""
         name = fresh("p")
-        window = Window.orderBy(*self.sort_columns()) if self.order else Window.orderBy(F.lit(0))
-        self.df = self.df.withColumn(name, F.row_number().over(window).cast("long") - 1)
-        self.order = [(name, True, True)]
+        if self.dense is not None:
+            self.df = self.df.withColumn(name, F.col(self.dense).cast("long"))
+        elif self.count() <= ONE_TASK:
+            window = Window.orderBy(*self.sort_columns()) if self.order else Window.orderBy(F.lit(0))
+            self.df = self.df.withColumn(name, F.row_number().over(window).cast("long") - 1)
+        else:
+            self.df = _numbered_files(self.sorted(), name)
+        self.order, self.dense = [(name, True, True)], name
         return name
 
 
+def _numbered_files(df: DataFrame, name: str) -> DataFrame:
+    """Rows in their order, written once: a row's position is its place in its file behind the files before."""
+    from colonnade.runtime import scratch_dir
+
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    file, place, before = fresh("f"), fresh("r"), fresh("b")
+    rows = spark.read.schema(df.schema).parquet(path)
+    rows = rows.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(place))
+    # One row a file; names rise with the partitions.
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy(file).count().collect())
+    starts = itertools.accumulate([0, *[n for _, n in sizes[:-1]]])
+    offsets = spark.createDataFrame([(f, s) for (f, _), s in zip(sizes, starts, strict=True)], f"{file} string, {before} long")
+    joined = rows.join(F.broadcast(offsets), file)
+    return joined.withColumn(name, F.col(before) + F.col(place)).drop(file, before, place)
+
+
 def aligned(left: Frame, right: Frame) -> Frame:
     """Both frames' columns side by side, row by position; lengths must agree."""
     from colonnade.errors import ColumnValueError
@@ -97,4 +121,4 @@ def aligned(left: Frame, right: Frame) -> Frame:
     # A name on both sides is one column of a frame that both come from.
     other = right.df.drop(*(set(left.df.columns) & set(right.df.columns)))
     joined = left.df.join(other, F.col(a) == F.col(b))
-    return Frame(joined, [(a, True, True)], left.count())
+    return Frame(joined, [(a, True, True)], left.count(), dense=a)

@@ -107,7 +107,7 @@ def write_points(vector, points: dict[int, object]):
     df = frame.df.join(edits, F.col(place) == F.col(at), "left")
     col = F.when(F.col(hit), F.col(new)).otherwise(vector._col.cast(goal))
     nullable = vector._nullable or any(v is None for v in points.values())
-    return Vector.of(Frame(df, list(frame.order), frame.rows), col, kind, nullable, vector._name, cats)
+    return Vector.of(Frame(df, list(frame.order), frame.rows, dense=place), col, kind, nullable, vector._name, cats)
 
 
 class Batch:

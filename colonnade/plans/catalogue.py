@@ -502,7 +502,9 @@ def string_shapes(d):
     return df.withColumn("words", F.size("words").cast("long"))
 
 
-@query()
+@query("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS t,
+  translate(p_name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS s, p_type = upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS i,
+  lower(p_type) AS c, p_brand AS f FROM part""")
 def string_udfs(d):
     p = d.part
     return p["p_partkey",] >> {
@@ -593,7 +595,11 @@ def setitem_masked(d):
     return li.drop("l_quantity")
 
 
-@query()
+def _turned(cells):
+    return "SELECT " + ", ".join(f"max(CASE WHEN r_regionkey = {k} THEN {cells} END) AS col{k}_" for k in range(5)) + " FROM region"
+
+
+@query(f"{_turned('r_regionkey::VARCHAR')} UNION ALL {_turned('r_name')}")
 def transpose_small(d):
     return d.region.T
 

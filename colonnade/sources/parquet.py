@@ -49,6 +49,8 @@ def read_parquet(path: str, nested: bool = False):
     _refuse_unsigned(spark, files, df.schema)
     row = F.col("_metadata.row_index")
     if len(files) == 1:
+        return _table(df, row, True)
+    if not files:
         order = row
     elif len(files) <= NUMBERED_FILES:
         numbers = F.create_map(*[x for k, f in enumerate(files) for x in (F.lit(f.rsplit("/", 1)[-1]), F.lit(k).cast("long"))])
@@ -65,7 +67,7 @@ def wrap(df: DataFrame):
     return _table(df, F.monotonically_increasing_id())
 
 
-def _table(df: DataFrame, order):
+def _table(df: DataFrame, order, dense: bool = False):
     from colonnade.table import Table
 
     position = fresh("o")
@@ -77,7 +79,7 @@ def _table(df: DataFrame, order):
         cols.append((c if goal == field.dataType else c.cast(goal)).alias(name))
         names.append(field.name)
         columns.append((name, kind, field.nullable))
-    frame = Frame(df.select(*cols, order.alias(position)), [(position, True, True)], plain=df.select(*cols))
+    frame = Frame(df.select(*cols, order.alias(position)), [(position, True, True)], plain=df.select(*cols), dense=position if dense else None)
     return Table.of(frame, [Vector.of(frame, F.col(p), k, null, n, None, True) for (p, k, null), n in zip(columns, names, strict=True)])
 
 

@@ -72,7 +72,7 @@ class Vector:
         kind, nullable = kinds.infer([value])
         order, out = fresh("o"), fresh()
         df = session().range(length).select(F.col("id").alias(order), F.lit(value).cast(kinds.spark_type(kind)).alias(out))
-        return cls.of(Frame(df, [(order, True, True)], length), F.col(out), kind, nullable, name)
+        return cls.of(Frame(df, [(order, True, True)], length, dense=order), F.col(out), kind, nullable, name)
 
     # Metadata ---------------------------------------------------------------
 
@@ -637,7 +637,7 @@ def memory_frame(columns: list[list], column_kinds: list) -> tuple[Frame, list[s
         for i in range(n)
     ]
     df = session().createDataFrame(rows, T.StructType([T.StructField(order, T.LongType(), False), *fields]))
-    return Frame(df, [(order, True, True)], n), names
+    return Frame(df, [(order, True, True)], n, dense=order), names
 
 
 def _field_type(kind, values):

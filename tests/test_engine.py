@@ -512,3 +512,31 @@ def test_unsigned_columns_are_refused(spark, tmp_path):
     with pytest.raises(TypeError, match="unsigned"):
         read_parquet(str(tmp_path / "u.parquet"))
     assert read_parquet(str(tmp_path / "d.parquet")).shape == (2, 1)
+
+
+def test_positions_without_one_task(spark, tmp_path, monkeypatch):
+    """Rows numbered file by file give the positions of the window."""
+    from colonnade import frame
+
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(40), rng.choice("abc")) for i in range(500)]
+    spark.createDataFrame(rows, "i long, k long, s string").repartition(4).write.parquet(f"{tmp_path}/t")
+    t = read_parquet(f"{tmp_path}/t").sort_by(["k", "i"], reverse=[True, False])
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    monkeypatch.setattr(frame, "ONE_TASK", 0)
+    assert t[5:400:7].i.to_list() == [r[0] for r in order[5:400:7]]
+    assert t[-3:].i.to_list() == [r[0] for r in order[-3:]] and t[::-50].i.to_list() == [r[0] for r in order[::-50]]
+    assert t[[3, 499, -2]].i.to_list() == [order[3][0], order[499][0], order[-2][0]]
+    assert (t.i + Vector(range(500))).to_list() == [r[0] + k for k, r in enumerate(order)]
+    u = t.copy()
+    u[[0, 10], "s"] = "x"
+    assert u.s.to_list() == ["x" if k in (0, 10) else r[2] for k, r in enumerate(order)]
+
+
+def test_dense_orders_need_no_numbering(spark, tmp_path):
+    spark.range(50).coalesce(1).write.parquet(f"{tmp_path}/one")
+    t = read_parquet(f"{tmp_path}/one")
+    t._frame.numbered()
+    assert "Window" not in t._frame.df._jdf.queryExecution().toString()
+    assert t[t.id > 10][1:30:4].id.to_list() == list(range(11, 50))[1:30:4]
+    assert (Vector([1, 2, 3]) + Vector([10, 20, 30])).to_list() == [11, 22, 33]
