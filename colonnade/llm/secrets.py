@@ -24,6 +24,8 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Tokens that the models judge: all of at least LONG of these characters.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LONG, MARGIN = 12, 0.0
+#: Parts of a text whose matches are gathered at once.
+BLOCK = 256
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LONG},}}"
 
 #: Words that identifiers are made of.
@@ -164,13 +166,15 @@ def log_ratio(value: Column, ratio: list[float]) -> Column:
     """Mean log-likelihood ratio of the transitions of ``value`` (2 characters or more, all in ALPHABET)."""
     table = F.from_json(F.lit(str([round(x, 6) for x in ratio])), "array<double>")
     n = len(ALPHABET)
-    at = lambda k: F.instr(F.lit(ALPHABET), F.substring(value, k, F.lit(1)))
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.length(value) - 1),
-        F.lit(0.0),
-        lambda sum_, k: sum_ + F.get(table, (at(k) - 1) * n + at(k + 1) - 1),
-    )
-    return total / (F.length(value) - 1)
+
+    def step(s, c):
+        code = F.instr(F.lit(ALPHABET), c) - 1
+        rise = F.when(s["last"] >= 0, F.get(table, s["last"] * n + code)).otherwise(F.lit(0.0))
+        return F.struct((s["sum"] + rise).alias("sum"), code.alias("last"))
+
+    # One pass over the characters; a place in a string would be sought from its beginning.
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last"))
+    return F.aggregate(F.split(value, ""), start, step, lambda s: s["sum"]) / (F.length(value) - 1)
 
 
 def find_all(text: Column, pattern: str) -> Column:
@@ -182,35 +186,29 @@ def find_all(text: Column, pattern: str) -> Column:
     """
     mark = "\u0001"
     marked = F.regexp_replace(F.translate(text, mark, "\u0002"), F.lit(f"({pattern})"), F.lit(f"{mark}$1{mark}"))
-    parts = F.split(marked, mark, -1)
-    state = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(False).alias("hit"),
-        F.array().cast("array<struct<start:int,end:int,piece:string>>").alias("found"),
-    )
-    return F.when(
-        F.size(parts) > 1,
-        F.aggregate(
-            parts,
-            state,
-            lambda s, p: F.struct(
-                (s["at"] + F.length(p)).alias("at"),
-                (~s["hit"]).alias("hit"),
-                F.when(
-                    s["hit"],
-                    F.concat(
-                        s["found"],
-                        F.array(
-                            F.struct(s["at"].alias("start"), (s["at"] + F.length(p)).alias("end"), p.alias("piece"))
-                        ),
-                    ),
-                )
-                .otherwise(s["found"])
-                .alias("found"),
-            ),
-            lambda s: s["found"],
-        ),
-    ).otherwise(state["found"])
+    none = F.array().cast("array<struct<start:int,end:int,piece:string>>")
+
+    def step(s, p):
+        end = s["at"] + F.length(p)
+        match = F.array(F.struct(s["at"].alias("start"), end.alias("end"), p.alias("piece")))
+        found = F.when(s["hit"], F.concat(s["found"], match)).otherwise(s["found"])
+        return F.struct(end.alias("at"), (~s["hit"]).alias("hit"), found.alias("found"))
+
+    def block(before, some):
+        return F.aggregate(some, F.struct(before["at"].alias("at"), before["hit"].alias("hit"), none.alias("found")), step)
+
+    def positions(parts):
+        # Block by block, so that the arrays that grow part by part stay short.
+        first = F.array(F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("found")))
+        blocks = F.aggregate(
+            F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")),
+            first,
+            lambda done, k: F.concat(done, F.array(block(F.element_at(done, -1), F.slice(parts, k * BLOCK + 1, BLOCK)))),
+        )
+        return F.when(F.size(parts) > 1, F.flatten(F.transform(blocks, lambda b: b["found"]))).otherwise(none)
+
+    # The parts are bound to a name, or else they would be made again for every block.
+    return F.transform(F.array(F.split(marked, mark, -1)), positions)[0]
 
 
 def scan_secrets(docs: DataFrame, ratio: list[float]) -> DataFrame:

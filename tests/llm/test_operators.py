@@ -899,6 +899,46 @@ def test_secrets(spark, docs, rows, none, wide):
     assert sc.scan_secrets(none, ratio).count() == 0 and sc.scan_secrets(wide, ratio).count() == len(rows)
 
 
+def test_all_spans_against_plain_python(spark, docs, rows):
+    """Base and added spans of the fixture, of random texts and of very long ones."""
+    import string
+
+    from colonnade.llm import secrets as sc
+
+    ratio = sc.train(sc.labelled_samples(spark))
+    n = len(sc.ALPHABET)
+    rng = random.Random(21)
+    bits = [" ", "password=", "secret: ", "AKIA", "deadbeef00112233", "api_key ='", "'", "\u0001", "é", "\n", "-", "some_long_identifier_name", "0123456789"]
+    key = lambda k: "".join(rng.choices(string.ascii_letters + string.digits, k=k))
+    texts = [r[1] for r in rows] + ["".join(rng.choice([*bits, key(rng.randrange(30))]) for _ in range(rng.randrange(30))) for _ in range(150)]
+    texts += [" ".join(key(12 + k % 9) for k in range(3000)), "a" * 1_000_000, "x=" * 100_000, "token=" + "b7" * 200_000]
+    patterns = {
+        "assign": re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A),
+        "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+"),
+    }
+
+    def plain(t):
+        base = []
+        for order, (kind, pattern) in enumerate(patterns.items()):
+            for m in pattern.finditer(t):
+                if len(m[1] if kind == "assign" else m[0]) >= sc.LEAST[kind]:
+                    base.append((m.start(), order, m.end(), kind))
+        more = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t):
+            if len(m[0]) < sc.LONG or any(a < m.end() and b > m.start() for a, _, b, _ in base):
+                continue
+            at = [sc.ALPHABET.index(c) for c in m[0]]
+            mean = sum(round(ratio[x * n + y], 6) for x, y in zip(at, at[1:])) / (len(at) - 1)
+            if abs(mean - sc.MARGIN) < 1e-9 or mean > sc.MARGIN:
+                more.append((m.start(), 3, m.end(), "random"))
+        return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + more))
+
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.spans for r in sc.scan_secrets(table, ratio).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain(t or ""), (i, (t or "")[:80])
+
+
 def test_models_part_held_out_strings(spark):
     from pyspark.sql import functions as F
 
