@@ -341,7 +341,11 @@ class Vector:
         def applied(v):
             if v is None or v is pd.NaT or kind is not float and isinstance(v, float) and v != v:
                 return None
-            # pandas shows ints beside nulls as floats.
+            # pandas shows ints beside nulls as floats, and has moments and spans of its own.
+            if isinstance(v, pd.Timestamp):
+                v = v.to_pydatetime()
+            elif isinstance(v, pd.Timedelta):
+                v = v.to_pytimedelta()
             return fn(int(v) if kind is int else v)
 
         if goal is None:

@@ -408,6 +408,10 @@ def test_kinds_of_callables_come_from_all_values(spark):
     assert v.to_list() == [float(a) if a < 50 else a / 2 for a in range(60)] and v.schema().kind is float
     assert Vector([1, None, 3]).cast(lambda a: f"<{a}>").to_list() == ["<1>", None, "<3>"]
     assert Vector([1, 2]).cast(lambda a: "x" if a == 1 else 5).to_list() == ["x", "5"]
+    moments = [dt.datetime(2024, 1, 1, 5), None, dt.datetime(2024, 3, 1)]
+    later = Vector(moments).cast(lambda m: m + dt.timedelta(hours=1))
+    assert later.schema().kind is dt.datetime and later.to_list() == [m and m + dt.timedelta(hours=1) for m in moments]
+    assert Vector(moments).cast(lambda m: m.date()).to_list() == [m and m.date() for m in moments]
     with pytest.raises(Exception, match="returns="):
         Vector([1, 2]).cast(lambda a: a / 2, returns=int).to_list()
     with pytest.raises(Exception, match="returns="):
