@@ -157,6 +157,44 @@ def test_repeated_labelled_rows_count_once(spark, monkeypatch):
     assert sizes[0] == sizes[1] == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
 
 
+def test_all_rows_and_pairs_are_fitted(spark, monkeypatch):
+    """More labelled rows than any sample held; weights and threshold as from every pair, one by one."""
+    from colonnade.llm import quality as q
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(240, 3)) * [1, 5, 0.1] + [0, 2, 9]
+    good = x[:, 0] + rng.normal(0, 0.6, 240) > 0.3
+    z = (x - x.mean(0)) / x.std(0)
+    diff = (z[good][:, None] - z[~good][None]).reshape(-1, 3)
+    w = np.zeros(3)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-(diff @ w)))
+        hessian = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + q.RIDGE * np.eye(3)
+        w -= np.linalg.solve(hessian, diff.T @ (p - 1) / len(diff) + q.RIDGE * w)
+    order, bad = np.sort(z @ w), int((~good).sum())
+    table = spark.createDataFrame([(list(map(float, r)), bool(g)) for r, g in zip(x, good)], "x array<double>, good boolean")
+    for model in (q.fit_pairs(x, good), q.fit_pairs(q.Stored(table.repartition(5)), "good")):
+        assert model.weights == pytest.approx(w, abs=1e-8)
+        assert model.threshold == pytest.approx((order[bad - 1] + order[bad]) / 2, abs=1e-8)
+
+    sizes = []
+    fit = q.fit_pairs
+    monkeypatch.setattr(q, "fit_pairs", lambda x, good, **k: sizes.append(len(x)) or fit(x, good, **k))
+    docs = spark.range(32000).selectExpr("id as doc_id", "if(id % 3 = 0, 'BAD! ', 'good text ') || id as text")
+    q.train(docs, docs.selectExpr("doc_id", "int(doc_id % 3 != 0) as quality"))
+    assert sizes == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(32000))] and sizes[0] > 20_000
+
+
+def test_order_statistics_of_stored_scores(spark):
+    from colonnade.llm import quality as q
+
+    for values in ([0.5, -2.0, 0.0, 1e-300, -1e9, 3.0, 3.0, 3.0], [7.0, 7.0, 7.0], [-1.0, -1.5]):
+        table = spark.createDataFrame([([v], True) for v in values], "x array<double>, good boolean").repartition(3)
+        want = sorted(values)
+        for k in range(len(values) - 1):
+            assert q.Stored(table).neighbours(lambda x: x[:, 0].copy(), k) == (want[k], want[k + 1])
+
+
 def test_quality_on_the_test_tables(spark):
     """Held-out labels of sf0.1: the score parts them."""
     from colonnade.llm import quality as q
