@@ -544,3 +544,37 @@ def test_dense_orders_need_no_numbering(spark, tmp_path):
     assert "Window" not in t._frame.df._jdf.queryExecution().toString()
     assert t[t.id > 10][1:30:4].id.to_list() == list(range(11, 50))[1:30:4]
     assert (Vector([1, 2, 3]) + Vector([10, 20, 30])).to_list() == [11, 22, 33]
+
+
+def test_lengths_in_callables_are_aggregates(spark, monkeypatch):
+    from colonnade.operators import grouping
+
+    nan = float("nan")
+    t = Table({
+        "g": ["a", "a", "a", "a", "b", "b"], "x": [1, None, 1, None, 2, 3], "f": [0.0, -0.0, nan, nan, None, 1.5],
+        "s": ["p", "q", "p", None, "r", "r"], "y": [5, 6, None, 8, 1, 9],
+    })
+
+    ask = {
+        "n": lambda q: len(q), "half": lambda q: len(q) / 2, "column": lambda q: len(q.x), "values": lambda q: len(q.x.unique()),
+        "floats": lambda q: len(q.f.unique()), "texts": lambda q: len(q.s.unique()), "rows": lambda q: len(q[q.y > 5]),
+        "masked": lambda q: len(q[q.y > 5].x.unique()), "cells": lambda q: len(q.s[q.y > 5]), "share": lambda q: len(q.s.unique()) / q.y.count(),
+    }
+    want = {
+        "g": ["a", "b"], "n": [4, 2], "half": [2.0, 1.0], "column": [4, 2], "values": [2, 2], "floats": [3, 2], "texts": [3, 1], "rows": [2, 1],
+        "masked": [1, 1], "cells": [2, 1], "share": [1.0, 0.5],
+    }
+    # The same functions over local tables, which the truth of a length asks for.
+    local = {k: (lambda q, f=f: f(q) if bool(len(q)) else None) for k, f in ask.items()}
+    assert t.aggregate("g", local).to_dict() == want
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a local table")
+
+    monkeypatch.setattr(grouping, "_udaf", refused)
+    assert t.aggregate("g", ask).to_dict() == want
+    assert t.aggregate("g", {"n": lambda q: len(q.s.unique())}, returns={"n": float}).to_dict() == {"g": ["a", "b"], "n": [3.0, 1.0]}
+    assert t.window("g", {"n": lambda q: len(q.s.unique())}).n.to_list() == [3, 3, 3, 3, 1, 1]
+    for untraced in (lambda q: len(q) if len(q) > 2 else 0, lambda q: len(q.x.unique().dropna()), lambda q: q.x.unique().sum(), lambda q: float(len(q))):
+        with pytest.raises(AssertionError, match="local table"):
+            t.aggregate("g", {"n": untraced})
