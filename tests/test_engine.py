@@ -578,3 +578,34 @@ def test_lengths_in_callables_are_aggregates(spark, monkeypatch):
     for untraced in (lambda q: len(q) if len(q) > 2 else 0, lambda q: len(q.x.unique().dropna()), lambda q: q.x.unique().sum(), lambda q: float(len(q))):
         with pytest.raises(AssertionError, match="local table"):
             t.aggregate("g", {"n": untraced})
+
+
+def test_local_groups_are_sorted_and_shown_in_lots(spark, monkeypatch):
+    import pyarrow as pa
+
+    from colonnade.operators import local
+
+    rng = random.Random(4)
+    rows = [(i, "ab"[i % 2], rng.choice([None, *range(9)])) for i in range(400)]
+    t = Table({"i": [r[0] for r in rows], "g": [r[1] for r in rows], "x": [r[2] for r in rows]}).sort_by("x", reverse=True)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = t.aggregate("g", {
+            "all": lambda q: ",".join(map(str, q.i)), "some": lambda q: ",".join(map(str, q[q.x > 4].i.to_list()[:-1])),
+            "ends": lambda q: f"{q.i.first()} {q.i.last()} {q.i[1]} {q[-2][0]} {q[[0, 3]].i.to_list()} {q.i[2:4].to_list()}",
+        })
+        found = out.sort_by("g").to_dict()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+    for k, g in enumerate("ab"):
+        own = [r[0] for r in order if r[1] == g]
+        above = [r[0] for r in order if r[1] == g and r[2] is not None and r[2] > 4]
+        assert found["all"][k] == ",".join(map(str, own)) and found["some"][k] == ",".join(map(str, above[:-1]))
+        assert found["ends"][k] == f"{own[0]} {own[-1]} {own[1]} {own[-2]} {[own[0], own[3]]} {own[2:4]}"
+    column = local.ColumnVector(pa.chunked_array([[3, None], [3, 4]]))
+    other = local.ColumnVector(pa.chunked_array([["a", "b"], ["c", "d"]]))
+    table = local.LocalTable(["n", "s"], [column, other])
+    assert table.n.unique().to_list() == [3, None, 4] and table.n.sum() == 10 and table[table.n == 3].s.to_list() == ["a", "c"]
+    assert len(table[table.n > 9]) == 0 and table[table.n > 9].n.first() is None and table.s.last() == "d"
+    assert column._kept is None and other._kept is None
